@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from karst.llm.mixing import op10_mixing
 from karst.llm.packing import op2_packing
+from karst.llm.quality import op7_quality_rules
 from karst.llm.token_counts import op4_token_counts
 
 
@@ -14,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op4_token_counts": op4_token_counts,
+        "op7_quality_rules": op7_quality_rules,
+        "op10_mixing": op10_mixing,
     }
 
 
