@@ -66,7 +66,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, most: int
     """
     ids = trusted.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("good", F.lit(1))
     df = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")  # at most `most` ids
-    counted = _grams(df, n).select(F.coalesce("good", F.lit(0)).alias("good"), F.explode("grams").alias("g")).where("g >= 0")
+    counted = _grams(df, n).select(F.coalesce("good", F.lit(0)).alias("good"), F.explode_outer("grams").alias("g")).where("g >= 0")  # not explode: its inferred filter would build the grams twice
     counts = counted.groupBy("g").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     rows = {r.g: (r.raw, r.good) for r in counts.collect()}
     return _ratios(rows, n, smoothing)

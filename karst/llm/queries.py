@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from karst.llm.extraction import op9_html_extraction
 from karst.llm.mixing import op10_mixing
 from karst.llm.packing import op2_packing
 from karst.llm.quality import op7_quality_rules
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op4_token_counts": op4_token_counts,
         "op7_quality_rules": op7_quality_rules,
+        "op9_html_extraction": op9_html_extraction,
         "op10_mixing": op10_mixing,
     }
 
