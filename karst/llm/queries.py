@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from karst.llm.extraction import op9_html_extraction
 from karst.llm.mixing import op10_mixing
 from karst.llm.packing import op2_packing
+from karst.llm.pii import op6_pii
 from karst.llm.quality import op7_quality_rules
 from karst.llm.token_counts import op4_token_counts
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op4_token_counts": op4_token_counts,
+        "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
         "op9_html_extraction": op9_html_extraction,
         "op10_mixing": op10_mixing,
