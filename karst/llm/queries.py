@@ -12,11 +12,13 @@ from karst.llm.packing import op2_packing
 from karst.llm.pii import op6_pii
 from karst.llm.quality import op7_quality_rules
 from karst.llm.token_counts import op4_token_counts
+from karst.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
+        "op3_toxicity": op3_toxicity,
         "op4_token_counts": op4_token_counts,
         "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
