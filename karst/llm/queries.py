@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from karst.llm.extraction import op9_html_extraction
 from karst.llm.mixing import op10_mixing
+from karst.llm.near_dups import ORACLE_SQL as NEAR_DUPS_SQL
+from karst.llm.near_dups import op1_minhash_near_dedup
 from karst.llm.packing import op2_packing
 from karst.llm.pii import op6_pii
 from karst.llm.quality import op7_quality_rules
@@ -17,6 +19,7 @@ from karst.llm.toxicity import op3_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_packing": op2_packing,
         "op3_toxicity": op3_toxicity,
         "op4_token_counts": op4_token_counts,
@@ -28,4 +31,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_minhash_near_dedup": NEAR_DUPS_SQL,
+    }
