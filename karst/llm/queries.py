@@ -15,6 +15,8 @@ from karst.llm.pii import op6_pii
 from karst.llm.quality import op7_quality_rules
 from karst.llm.token_counts import op4_token_counts
 from karst.llm.toxicity import op3_toxicity
+from karst.llm.vector_dups import ORACLE_SQL as VECTOR_DUPS_SQL
+from karst.llm.vector_dups import op5_vector_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_toxicity": op3_toxicity,
         "op4_token_counts": op4_token_counts,
+        "op5_vector_near_dedup": op5_vector_near_dedup,
         "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
         "op9_html_extraction": op9_html_extraction,
@@ -33,4 +36,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": NEAR_DUPS_SQL,
+        "op5_vector_near_dedup": VECTOR_DUPS_SQL,
     }
