@@ -107,6 +107,12 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _ratio(n_lines: int) -> Column:
+    """Share of the entity's information that the term gives, from counts c_te, c_t and c_e."""
+    own = F.log2(F.lit(float(max(n_lines, 2))) / F.col("c_e"))
+    return 1 - F.log2(F.greatest(F.col("c_t"), F.col("c_te")) / F.col("c_te")) / F.greatest(own, F.lit(1e-9))
+
+
 def revealing_terms(work: Workspace, docs: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
     """(terms: term, entity, ratio, action; occurrences: term, line, text) over the whole corpus.
 
@@ -125,6 +131,11 @@ def revealing_terms(work: Workspace, docs: DataFrame, least: int = LEAST_CONTEXT
     of_entity = held.groupBy("entity").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= least)
     pairs = held.join(of_entity, "entity", "left_semi").select("entity", F.explode_outer("terms").alias("term")).where("term is not null")
     pairs = work.keep(pairs.groupBy("term", "entity").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= least), "pairs")
+    # A term occurs in no fewer lines than in those with entities: who discloses too little by that count is out
+    # before the corpus is searched, and so are all common words.
+    seen = held.groupBy("line").agg(F.first("terms").alias("terms")).select(F.explode_outer("terms").alias("term")).where("term is not null")
+    seen = seen.groupBy("term").agg(F.count("*").alias("c_t"))
+    pairs = work.keep(pairs.join(seen, "term").join(of_entity, "entity").withColumn("ratio", _ratio(n_lines)).where(F.col("ratio") >= generalise).select("term", "entity", "c_te"), "likely")
     candidates = pairs.select(F.col("term").alias("candidate")).distinct()
     if pairs.count() <= BROADCAST_TERMS and not pairs.where("length(term) > 64").limit(1).count():
         candidates = F.broadcast(candidates)
@@ -133,9 +144,7 @@ def revealing_terms(work: Workspace, docs: DataFrame, least: int = LEAST_CONTEXT
     occurrences = work.keep(spread.join(candidates, F.col("term") == F.col("candidate"), "left_semi").distinct(), "occurrences")
     of_term = occurrences.groupBy("term").agg(F.countDistinct("line").alias("c_t"))
     judged = pairs.join(of_term, "term").join(of_entity, "entity")
-    own = F.log2(F.lit(float(max(n_lines, 2))) / F.col("c_e"))
-    ratio = 1 - F.log2(F.greatest(F.col("c_t"), F.col("c_te")) / F.col("c_te")) / F.greatest(own, F.lit(1e-9))
-    judged = judged.withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
+    judged = judged.withColumn("ratio", _ratio(n_lines)).where(F.col("ratio") >= generalise)
     judged = judged.groupBy("term").agg(F.max("ratio").alias("ratio"), F.max_by("entity", "ratio").alias("entity"))
     action = F.when(F.col("ratio") >= remove, KINDS.index("removed")).otherwise(KINDS.index("generalised"))
     return judged.select("term", "entity", "ratio", action.alias("action")), occurrences

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from karst.llm.extraction import op9_html_extraction
+from karst.llm.language import op8_language_id
 from karst.llm.mixing import op10_mixing
 from karst.llm.near_dups import ORACLE_SQL as NEAR_DUPS_SQL
 from karst.llm.near_dups import op1_minhash_near_dedup
@@ -28,13 +30,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_vector_near_dedup": op5_vector_near_dedup,
         "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
+        "op8_language_id": op8_language_id,
         "op9_html_extraction": op9_html_extraction,
         "op10_mixing": op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return found | {
         "op1_minhash_near_dedup": NEAR_DUPS_SQL,
         "op5_vector_near_dedup": VECTOR_DUPS_SQL,
     }
