@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Lookups, text, chemistry."""

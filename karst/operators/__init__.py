@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Queries over entities, fetches, retrieval."""

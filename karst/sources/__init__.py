@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Notebooks, response envelopes, web resources."""

@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Empty on purpose: no operator of this engine is a streaming one."""
