@@ -138,6 +138,9 @@ def main_text(html: str | None) -> str:
     """
     if not html:
         return ""
+    tail = html.rfind("<")
+    if tail >= 0 and ">" not in html[tail:] and re.match("[A-Za-z/!?]", html[tail + 1 : tail + 2]):
+        html = html[:tail]  # a tag that the page's end cut off
     parser = Lines()
     parser.feed(html)
     parser.close()
