@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ REMOVE = 0.95
 BROADCAST_TERMS = 100_000
 
 
-def _positions(text: Column | str, pattern: str, kind: str) -> Column:
-    """array<struct<s, k, e, t>> of leftmost non-overlapping matches: code points, end exclusive.
+def _positions(text: Column | str, pattern: str, kind: str, valid: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<s, k, e, t>> of leftmost non-overlapping matches that are valid: code points, end exclusive.
 
     The pieces between matches (split) and the matches themselves, laid end to end, are the text, so running sums of
     their lengths are the places.
@@ -41,11 +43,13 @@ def _positions(text: Column | str, pattern: str, kind: str) -> Column:
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.expr("named_struct('p', 0, 'o', cast(array() as array<struct<s:int,k:int,e:int,t:string>>))")
     number = KINDS.index(kind)
+    test = valid or (lambda t: F.lit(True))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["p"] + F.char_length(x["a"])
         end = at + F.char_length(x["b"])
-        return F.struct(end.alias("p"), F.concat(acc["o"], F.array(F.struct(at.alias("s"), F.lit(number).alias("k"), end.alias("e"), x["b"].alias("t")))).alias("o"))
+        grown = F.concat(acc["o"], F.array(F.struct(at.alias("s"), F.lit(number).alias("k"), end.alias("e"), x["b"].alias("t"))))
+        return F.struct(end.alias("p"), F.when(test(x["b"]), grown).otherwise(acc["o"]).alias("o"))
 
     pairs = F.zip_with(pieces, hits, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     return F.aggregate(F.filter(pairs, lambda x: x["b"].isNotNull()), empty, step, lambda acc: acc["o"])
@@ -66,18 +70,16 @@ def _luhn(digits: Column) -> Column:
 def base_spans(text: str = "text") -> dict[str, Column]:
     """kind -> array of valid base matches of a column without nulls."""
     none = F.expr("cast(array() as array<struct<s:int,k:int,e:int,t:string>>)")
-    digits = lambda x: F.regexp_replace(x["t"], "[^0-9]", "")
+    digits = lambda t: F.regexp_replace(t, "[^0-9]", "")
     valid = {
         "email": None,
-        "ip": lambda x: F.forall(F.split(x["t"], r"\."), _small_number),
-        "card": lambda x: F.length(digits(x)).between(14, 19) & _luhn(digits(x)),
-        "phone": lambda x: F.length(digits(x)).between(10, 15),
+        "ip": lambda t: F.forall(F.split(t, r"\."), _small_number),
+        "card": lambda t: F.length(digits(t)).between(14, 19) & _luhn(digits(t)),
+        "phone": lambda t: F.length(digits(t)).between(10, 15),
     }
     out = {}
     for kind, pattern in PATTERNS.items():
-        found = _positions(text, pattern, kind)
-        found = F.filter(found, valid[kind]) if valid[kind] else found
-        out[kind] = F.when(F.col(text).rlike(MAY_HAVE[kind]), found).otherwise(none)
+        out[kind] = F.when(F.col(text).rlike(MAY_HAVE[kind]), _positions(text, pattern, kind, valid[kind])).otherwise(none)
     return out
 
 
@@ -166,7 +168,7 @@ def personal_data(work: Workspace, docs: DataFrame, least: int = LEAST_CONTEXTS,
     df = _with_base(df)
     named = F.transform("terms_", lambda x: x["term"])
     clear = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    seen = F.filter(_positions("text", TERM, "removed"), lambda x: F.array_contains(named, F.lower(x["t"])) & clear(x))
+    seen = F.filter(_positions("text", TERM, "removed", lambda t: F.array_contains(named, F.lower(t))), clear)
     with_action = F.transform(seen, lambda x: F.struct(x["s"].alias("s"), F.element_at(F.map_from_entries("terms_"), F.lower(x["t"])).alias("k"), x["e"].alias("e"), x["t"].alias("t")))
     df = df.withColumn("more", F.when(F.col("terms_").isNotNull(), with_action))
     df = df.withColumn("found", F.when(F.col("more").isNull() | (F.size("more") == 0), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))))
