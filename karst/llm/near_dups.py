@@ -21,12 +21,18 @@ MINIMA = BANDS * ROWS
 BITS = 4
 #: Estimates that far below the threshold aren't confirmed: five standard errors.
 MARGIN = 0.22
+#: Minima of the wide signature, and the same margin for it: 4.5 standard errors.
+WIDE, WIDE_MARGIN = 1024, 0.065
 CACHE_ENTRIES = 1_000_000
+#: Ids of documents to confirm that may be broadcast; so many take less than 64 MB.
+BROADCAST_IDS = 2_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd; any would do
 _draw = np.random.default_rng(20240607)
 _A = (_draw.integers(0, 2**63, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _draw.integers(0, 2**63, MINIMA, dtype=np.uint64)
+_A_WIDE = (_draw.integers(0, 2**63, WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_B_WIDE = _draw.integers(0, 2**63, WIDE, dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -58,10 +64,11 @@ class Shingles(dict):
         return np.unique(_mixed(acc))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(shingles), 2048):
-        block = _A[:, None] * shingles[None, lo : lo + 2048] + _B[:, None]
+def minima(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    step = 2**18 // len(a)
+    for lo in range(0, len(shingles), step):
+        block = a[:, None] * shingles[None, lo : lo + step] + b[:, None]
         np.minimum(out, block.min(axis=1), out=out)
     return out
 
@@ -120,13 +127,35 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, shingles array<bigint>")
 
 
-def estimate(a: str, b: str) -> Column:
-    """Similarity from packed signatures: lanes that agree, less those expected to agree by chance."""
-    lane = "1" * (64 // BITS)
-    smear = f"(x | shiftrightunsigned(x, 1) | shiftrightunsigned(x, 2) | shiftrightunsigned(x, 3)) & {int(lane, 16)}L"
-    other = f"aggregate(zip_with({a}, {b}, (p, q) -> transform(array(p ^ q), x -> bit_count({smear}))[0]), 0, (t, x) -> t + x)"
+def _wide(docs: DataFrame) -> DataFrame:
+    """(id, wide): signatures of WIDE minima, for the few documents whose narrow ones leave too many pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Shingles()
+        for batch in batches:
+            found = [_packed(minima(sets.of(t or ""), _A_WIDE, _B_WIDE)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "wide"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, wide array<bigint>")
+
+
+def _of_ids(work: Workspace, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents with these ids: the ids are broadcast up to a checked number; else both sides are shuffled."""
+    ids = work.keep(ids.distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def estimate(a: str, b: str, n: int = MINIMA) -> Column:
+    """Similarity from packed signatures of n minima: lanes that agree, less those expected to agree by chance."""
+    words, lane = n * BITS // 64, int("1" * (64 // BITS), 16)
+    differs = "bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & %dL)" % lane
+    if words <= 8:  # written out, so that it compiles to plain arithmetic
+        other = " + ".join(differs.format(x=f"({a}[{i}] ^ {b}[{i}])") for i in range(words))
+    else:
+        other = f"aggregate(zip_with({a}, {b}, (p, q) -> p ^ q), 0, (t, x) -> t + {differs.format(x='x')})"
     chance = 1 / 2**BITS
-    return (F.expr(f"1 - {other} / {float(MINIMA)}D") - chance) / (1 - chance)
+    return (F.expr(f"1 - ({other}) / {float(n)}D") - chance) / (1 - chance)
 
 
 def _confirmed(work: Workspace, docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -135,8 +164,7 @@ def _confirmed(work: Workspace, docs: DataFrame, reps: DataFrame, pairs: DataFra
     sized = pairs.join(of("a"), "a").join(of("b"), "b")
     sized = sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likely = work.keep(sized.where(estimate("s_a", "s_b") >= percent / 100 - MARGIN).select("a", "b", "n_a", "n_b"), "likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    sets = work.keep(_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
+    sets = work.keep(_sets(_of_ids(work, docs, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")))).dropDuplicates(["id"]), "sets")
     both = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
@@ -149,9 +177,11 @@ def near_duplicates(work: Workspace, docs: DataFrame, percent: int = PERCENT) ->
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
     Documents with equal sets form a class, named by its smallest id; only classes are compared. Each band bucket
-    links its members to its smallest class (a star: as many pairs as members), and full sets confirm. Where a
-    bucket still holds more than one component, its members of different components meet in an equi-join on the
-    bucket whose condition is the estimate, so that only likely pairs come out, and are confirmed too. Within a
+    links its members to one of them (a star: as many pairs as members), and full sets confirm. The centre is the
+    member with most company over all its buckets: copies that were changed in different places are less alike than
+    each of them is to what they were made from, and that one shares the most buckets. Where a bucket still holds more than one component, its members of different components meet in an equi-join on the
+    bucket whose condition is the estimate, then one from signatures eight times as wide, so that only likely pairs
+    come out, and are confirmed too. Within a
     component no further pair can change the result.
 
     Null, empty and blank texts have no shingle, link with nothing and stay. Repeated rows are copies of each other:
@@ -163,9 +193,12 @@ def near_duplicates(work: Workspace, docs: DataFrame, percent: int = PERCENT) ->
     reps = classes.agg(F.min(F.struct("doc_id", "n_shingles", "bands", "signature")).alias("r"))
     reps = work.keep(reps.select("set_hash", F.col("r.doc_id").alias("id"), "r.n_shingles", "r.bands", "r.signature"), "classes")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
-    centres = work.keep(buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a"), "centres")
-    crowded = work.keep(buckets.join(centres, "bucket"), "crowded")
-    pairs = crowded.where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    sizes = work.keep(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    crowded = work.keep(buckets.join(sizes, "bucket"), "crowded")
+    company = work.keep(crowded.groupBy("id").agg(F.sum("n").alias("company")), "company")
+    known = crowded.select("bucket", "id").join(company, "id")
+    centres = work.keep(known.groupBy("bucket").agg(F.max(F.struct("company", F.negative("id").alias("m"))).alias("c")).select("bucket", F.negative("c.m").alias("a")), "centres")
+    pairs = crowded.join(centres, "bucket").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
     links = _confirmed(work, docs, reps, pairs, percent)
     near = components(work, links)
 
@@ -174,9 +207,12 @@ def near_duplicates(work: Workspace, docs: DataFrame, percent: int = PERCENT) ->
     mixed = work.keep(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
     rest = named.join(mixed, "bucket").select("bucket", "id", "component")
     rest = work.keep(rest.join(reps.select("id", "n_shingles", "signature"), "id"), "rest")
-    x, y = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "signature")]) for s in "ab")
+    wide = work.keep(_wide(_of_ids(work, docs, rest.select(F.col("id").alias("doc_id")))).dropDuplicates(["id"]), "wide")
+    rest = work.keep(rest.join(wide, "id"), "rest")
+    x, y = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "signature", "wide")]) for s in "ab")
     alike = (F.col("component_a") < F.col("component_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-    across = x.join(y, "bucket").where(alike & (estimate("signature_a", "signature_b") >= percent / 100 - MARGIN))
+    likely = (estimate("signature_a", "signature_b") >= percent / 100 - MARGIN) & (estimate("wide_a", "wide_b", WIDE) >= percent / 100 - WIDE_MARGIN)
+    across = x.join(y, "bucket").where(alike & likely)
     more = across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     more = _confirmed(work, docs, reps, more, percent)
     if not more.isEmpty():
