@@ -43,9 +43,9 @@ def base_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
         .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     )
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    windows = F.expr("case when n_words >= 8 then array_sort(transform(sequence(1, size(hashes) - 7), i -> struct(xxhash64(slice(hashes, i, 8)) as h, i as i))) else array() end")
+    windows = F.expr("case when n_words >= 8 then sort_array(transform(sequence(1, size(hashes) - 7), i -> struct(xxhash64(slice(hashes, i, 8)) as h, i as i))) else array() end")
     df = df.withColumn("windows", windows).drop("words", "lines", "hashes")
-    again = F.expr("array_sort(transform(filter(windows, (x, j) -> (j > 0 and get(windows, j - 1).h = x.h) or (j + 1 < size(windows) and get(windows, j + 1).h = x.h)), x -> x.i))")
+    again = F.expr("sort_array(transform(filter(windows, (x, j) -> (j > 0 and get(windows, j - 1).h = x.h) or (j + 1 < size(windows) and get(windows, j + 1).h = x.h)), x -> x.i))")
     df = df.withColumn("again", again).drop("windows")
     covered = F.expr("aggregate(transform(again, (v, j) -> cast(least(8, coalesce(get(again, j + 1), v + 8) - v) as bigint)), 0L, (a, x) -> a + x)")
     df = df.withColumn("n_repeat_words", covered).drop("again")
