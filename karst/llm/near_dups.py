@@ -206,13 +206,14 @@ def near_duplicates(work: Workspace, docs: DataFrame, percent: int = PERCENT) ->
     named = work.keep(named, "named")
     mixed = work.keep(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
     rest = named.join(mixed, "bucket").select("bucket", "id", "component")
-    rest = work.keep(rest.join(reps.select("id", "n_shingles", "signature"), "id"), "rest")
+    rest = work.keep(rest.join(reps.select("id", "n_shingles", "signature", "bands"), "id"), "rest")
     wide = work.keep(_wide(_of_ids(work, docs, rest.select(F.col("id").alias("doc_id")))).dropDuplicates(["id"]), "wide")
     rest = work.keep(rest.join(wide, "id"), "rest")
-    x, y = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "signature", "wide")]) for s in "ab")
+    x, y = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles", "signature", "wide", "bands")]) for s in "ab")
     alike = (F.col("component_a") < F.col("component_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
     likely = (estimate("signature_a", "signature_b") >= percent / 100 - MARGIN) & (estimate("wide_a", "wide_b", WIDE) >= percent / 100 - WIDE_MARGIN)
-    across = x.join(y, "bucket").where(alike & likely)
+    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("bucket")  # of the buckets that a pair shares, one
+    across = x.join(y, "bucket").where(alike & likely & once)
     more = across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     more = _confirmed(work, docs, reps, more, percent)
     if not more.isEmpty():
