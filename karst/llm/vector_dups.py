@@ -19,6 +19,8 @@ K, REVERSE = 8, 8
 ORDERS, BITS, BLOCK = 6, 20, 192
 #: Local joins end when one adds no more than this share of threshold edges, or after so many.
 LEAST_GAIN, MOST_JOINS = 0.002, 4
+#: Number of the first projection order that searches between components; those below seed the lists.
+BRIDGE_ORDER = 1 << 20
 #: Rows of a tile in which saturated vectors meet their component.
 TILE = 256
 #: Audited vectors (a documented bound), recall below which another round with new projections follows, rounds.
@@ -94,8 +96,10 @@ def seeds(work: Workspace, nodes: DataFrame, count: int, first_order: int, k: in
     """Edges to the nearest of the rows around a vector in each of several random projection orders.
 
     Rows are sorted by room, sign bits and a projection, so blocks have a fixed size whatever a key holds: a dense
-    group is dealt over many blocks and tasks.
+    group is dealt over many blocks and tasks. Where nodes have a component, the rows around are the nearest in the
+    order that are of other components, however many of its own lie between.
     """
+    apart = "component" in nodes.columns
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +112,10 @@ def seeds(work: Workspace, nodes: DataFrame, count: int, first_order: int, k: in
                     planes = rng.standard_normal((int(dim), BITS + 1))
                     y = x @ planes
                     sign = (y[:, :BITS] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(np.full(len(x), order, np.int32)), pa.array(sign.astype(np.int64)), pa.array(y[:, BITS]), rows.column(0), rows.column(2)], names=["room", "ord", "sign", "along", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(np.full(len(x), order, np.int32)), pa.array(sign.astype(np.int64)), pa.array(y[:, BITS]), rows.column(0), rows.column(2), rows.column(3)], names=["room", "ord", "sign", "along", "id", "v", "component"])
 
     kind = nodes.schema["v"].dataType.simpleString()
-    rows = work.keep(nodes.select("id", "room", "v").mapInArrow(keyed, f"room bigint, ord int, sign bigint, along double, id bigint, v {kind}"), "orders")
+    rows = work.keep(nodes.select("id", "room", "v", F.col("component" if apart else "id").alias("component")).mapInArrow(keyed, f"room bigint, ord int, sign bigint, along double, id bigint, v {kind}, component bigint"), "orders")
     order = ["room", "ord", "sign", "along", "id"]
     sorted_rows = rows.repartitionByRange(shuffle_parts(work.spark, count * ORDERS, 25_000), *order).sortWithinPartitions(*order)
 
@@ -128,10 +132,23 @@ def seeds(work: Workspace, nodes: DataFrame, count: int, first_order: int, k: in
                 best = np.argpartition(-cos, n - 1, axis=1)[:, :n]
                 yield np.repeat(ids[mine], n), ids[around][best].reshape(-1), np.take_along_axis(cos, best, axis=1).reshape(-1)
 
+    def across(group: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ids, x, of = group.column(2).to_numpy(), _matrix(group.column(3)), group.column(4).to_numpy()
+        cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(of)]):
+            before, after = np.arange(max(0, lo - 2 * BLOCK), lo), np.arange(hi, min(len(of), hi + 2 * BLOCK))
+            around = np.r_[before[of[before] != of[lo]][-(BLOCK // 2) :], after[of[after] != of[lo]][: BLOCK // 2]]
+            n = min(k, len(around))
+            for at in range(lo, hi, BLOCK) if n else ():
+                mine = slice(at, min(at + BLOCK, hi))
+                cos = x[mine] @ x[around].T
+                best = np.argpartition(-cos, n - 1, axis=1)[:, :n]
+                yield np.repeat(ids[mine], n), ids[around][best].reshape(-1), np.take_along_axis(cos, best, axis=1).reshape(-1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batched(segments(batches, 2), near)
+        return _batched(segments(batches, 2), across if apart else near)
 
-    return sorted_rows.select("room", "ord", "id", "v").mapInArrow(run, EDGES)
+    return sorted_rows.select("room", "ord", "id", "v", "component").mapInArrow(run, EDGES)
 
 
 def nearest(work: Workspace, edges: DataFrame, k: int = K) -> DataFrame:
@@ -141,22 +158,25 @@ def nearest(work: Workspace, edges: DataFrame, k: int = K) -> DataFrame:
     return work.keep(both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("a", "b", "cos"), "lists")
 
 
-def local_join(work: Workspace, nodes: DataFrame, lists: DataFrame, count: int, k: int = K) -> DataFrame:
+def local_join(work: Workspace, nodes: DataFrame, lists: DataFrame, count: int, k: int = K, beside: DataFrame | None = None) -> DataFrame:
     """Neighbours of neighbours: at each centre its list, its best reverse neighbours and itself meet, and pairs
-    better than what either has so far come out. A centre holds k + REVERSE + 1 vectors at most."""
+    better than what either has so far come out. A centre holds k + REVERSE + 1 vectors at most. Where nodes have a
+    component, only pairs of two components come out; the lists in `beside` meet too."""
+    of = "component" if "component" in nodes.columns else "id"
     worst = lists.groupBy("a").agg(F.min("cos").alias("worst"), F.count("*").alias("n")).select(F.col("a").alias("id"), F.when(F.col("n") < k, -1.0).otherwise(F.col("worst")).alias("worst"))
     reverse = lists.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("cos"), "a"))).where(F.col("r") <= REVERSE)
-    members = lists.select(F.col("a").alias("centre"), F.col("b").alias("id")).union(reverse.select("b", "a")).union(nodes.select("id", F.col("id").alias("x"))).distinct()
-    known = nodes.select("id", "v").join(worst, "id", "left").select("id", "v", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
+    members = lists.select(F.col("a").alias("centre"), F.col("b").alias("id")).union(reverse.select("b", "a")).union(nodes.select("id", F.col("id").alias("x")))
+    members = (members if beside is None else members.union(beside.select("a", "b"))).distinct()
+    known = nodes.select("id", "v", F.col(of).alias("component")).join(worst, "id", "left").select("id", "v", "component", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
     known = work.keep(known, "known")
     parts = shuffle_parts(work.spark, count * (k + REVERSE), 40_000)
-    at = members.join(known, "id").select("centre", "id", "worst", "v").repartition(parts, "centre").sortWithinPartitions("centre")
+    at = members.join(known, "id").select("centre", "id", "worst", "v", "component").repartition(parts, "centre").sortWithinPartitions("centre")
 
     def meet(group: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if group.num_rows > 1:
-            ids, worst, x = group.column(1).to_numpy(), group.column(2).to_numpy(), _matrix(group.column(3))
+            ids, worst, x, own = group.column(1).to_numpy(), group.column(2).to_numpy(), _matrix(group.column(3)), group.column(4).to_numpy()
             cos = x @ x.T
-            i, j = np.nonzero(np.triu((cos > np.minimum(worst[:, None], worst[None, :])) & (ids[:, None] != ids[None, :]), 1))
+            i, j = np.nonzero(np.triu((cos > np.minimum(worst[:, None], worst[None, :])) & (own[:, None] != own[None, :]), 1))
             yield ids[i], ids[j], cos[i, j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +185,39 @@ def local_join(work: Workspace, nodes: DataFrame, lists: DataFrame, count: int,
     return at.mapInArrow(run, EDGES)
 
 
+def bridged(work: Workspace, nodes: DataFrame, lists: DataFrame, threshold: float, first_order: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(threshold edges, components), with the links between components that full lists have no place for.
+
+    An edge is in neither list only if better ones fill both, so its ends are saturated. Those search again for
+    neighbours of other components alone, in new orders and local joins; what they find merges components, until a
+    search finds no such link any more. Each search but the last leaves fewer components.
+    """
+    kept = work.keep(lists.where(F.col("cos") >= threshold).select("a", "b"), "kept")
+    full = work.keep(kept.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("id")), "saturated")
+    while True:
+        component = components(work, kept)
+        apart = work.keep(nodes.join(full, "id", "left_semi").join(component, "id").select("id", "room", "v", "component"), "apart")
+        if apart.groupBy("room").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").isEmpty():
+            return kept, component
+        count = apart.count()
+        cross = nearest(work, seeds(work, apart, count, first_order, k), k)
+        best = cross.agg(F.coalesce(F.sum("cos"), F.lit(0.0))).first()[0]
+        for _ in range(MOST_JOINS):
+            better = nearest(work, cross.unionByName(local_join(work, apart, cross, count, k, lists)), k)
+            work.drop(cross)
+            cross, was = better, best
+            best = cross.agg(F.coalesce(F.sum("cos"), F.lit(0.0))).first()[0]
+            if best - was <= LEAST_GAIN * abs(was):
+                break
+        found = work.keep(cross.where(F.col("cos") >= threshold).select("a", "b"), "bridges")
+        work.drop(cross), work.drop(apart)
+        if found.isEmpty():
+            return kept, component
+        more = work.keep(kept.union(found), "kept")
+        work.drop(kept), work.drop(component)
+        kept, first_order = more, first_order + ORDERS
+
+
 def _tiled(work: Workspace, nodes: DataFrame, rows: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
     """(id, n): links of saturated vectors (rows: id), their lists enlarged to their whole component.
 
@@ -227,8 +280,8 @@ def near_duplicate_vectors(work: Workspace, vectors: DataFrame, threshold: float
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
     Equal vectors of a label are one node with a count. Lists seeded from random projections are refined by local
-    joins; a list full of threshold edges is saturated, and its vector's links are counted anew over its whole
-    component, in tiles. Rounds with new projections follow while the audit finds too little. Edges at or above the
+    joins; a list full of threshold edges is saturated: its vector searches on in other components (see bridged),
+    and its links are counted anew over its whole component, in tiles. Rounds with new projections follow while the audit finds too little. Edges at or above the
     threshold are kept, none below.
 
     Rows that can't be compared (see usable) have no links, are their own component and stay. Rows that share a
@@ -249,8 +302,7 @@ def near_duplicate_vectors(work: Workspace, vectors: DataFrame, threshold: float
             if after - before <= LEAST_GAIN * max(after, 1):
                 break
             before = after
-        kept = lists.where(F.col("cos") >= threshold)
-        component = components(work, kept.select("a", "b"))
+        kept, component = bridged(work, nodes, lists, threshold, BRIDGE_ORDER + turn * ORDERS, k)
         links = work.keep(_links(work, nodes, kept, component, threshold, k), "counts")
         recall = audit(nodes, links, threshold)
         if recall >= LEAST_RECALL:

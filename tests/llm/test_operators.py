@@ -263,6 +263,35 @@ def test_vectors(spark):
     assert near_duplicate_vectors(Workspace(spark, "t"), df.where("false")).count() == 0
 
 
+def test_vectors_of_dense_groups_side_by_side(spark):
+    """Groups whose members fill each other's lists are joined by their cross links; groups farther apart aren't."""
+    from karst.llm.vector_dups import near_duplicate_vectors
+
+    rng = np.random.default_rng(3)
+    base = np.linalg.qr(rng.standard_normal((32, 32)))[0]
+    turned = lambda i, degrees: math.cos(math.radians(degrees)) * base[i] + math.sin(math.radians(degrees)) * base[i + 1]
+    rows, wanted = [], {}
+    for i, (degrees, label) in enumerate([((0, 10), 1), ((0, 10, 20), 2), ((0, 25), 3)]):
+        for d in degrees:
+            for _ in range(40):
+                rows.append((len(rows), (turned(4 * i, d) + 0.001 * rng.standard_normal(32)).astype(np.float32).tolist(), label))
+    x = np.array([v for _, v, _ in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    labels = np.array([r[2] for r in rows])
+    linked = (x @ x.T >= 0.98) & (labels[:, None] == labels[None, :]) & ~np.eye(len(x), dtype=bool)
+    for i in range(len(rows)):
+        if i not in wanted:
+            reach, todo = {i}, [i]
+            while todo:
+                new = set(np.flatnonzero(linked[todo.pop()]).tolist()) - reach
+                reach |= new
+                todo += new
+            wanted |= {j: min(reach) for j in reach}
+    got = near_duplicate_vectors(Workspace(spark, "t"), spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(linked[i].sum()), wanted[i]) for i in wanted}
+    assert len(set(wanted.values())) == 4
+
+
 def test_pii(spark, docs, none):
     from karst.llm import pii
 
