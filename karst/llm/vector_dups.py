@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from karst.llm.common import Workspace, components, shuffle_parts, table
 
+_LOG = logging.getLogger(__name__)
+
 THRESHOLD = 0.98
 #: Neighbours in a list, and reverse neighbours that join in at a centre.
 K, REVERSE = 8, 8
@@ -23,7 +26,8 @@ LEAST_GAIN, MOST_JOINS = 0.002, 4
 BRIDGE_ORDER = 1 << 20
 #: Rows of a tile in which saturated vectors meet their component.
 TILE = 256
-#: Audited vectors (a documented bound), recall below which another round with new projections follows, rounds.
+#: Audited vectors (a documented bound), recall below which another round with new projections follows, rounds without a new
+#: link after which it has failed.
 AUDITED, LEAST_RECALL, MOST_ROUNDS = 512, 0.97, 3
 
 
@@ -246,13 +250,27 @@ def _tiled(work: Workspace, nodes: DataFrame, rows: DataFrame, component: DataFr
     return tiles.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+#: Found links of a vector from which a stratum of the audit begins, and true links from which a class does.
+STRATA, CLASSES = (0, 1, 2, 8, 64), (1, 2, 8, 64)
+
+
 def audit(nodes: DataFrame, links: DataFrame, threshold: float, most: int = AUDITED) -> float:
-    """Share of the true links of a bounded set of vectors that were found: half of the set has links, half is any.
-    Each task compares its own vectors with the set, in one product."""
+    """Recall of links by vector, in the class of vectors (by number of true links) where it is least.
+
+    Half of a bounded set has no link found, the others are spread evenly over strata by number of links found; each
+    stands for its stratum's vectors, so groups of thousands of links count by their vectors, as pairs do. Vectors
+    without true links don't count. Each task compares its own vectors with the set, in one product.
+    """
     spark = nodes.sparkSession
     turn = [F.xxhash64(F.lit("audit"), "id"), F.col("id")]
-    picked = nodes.join(links, "id", "left").select("id", "room", "v", F.coalesce("n", F.lit(0)).alias("n"))
-    rows = {r.id: r for part in (picked, picked.where("n > 0")) for r in part.orderBy(*turn).limit(most // 2).collect()}
+    stratum = lambda n: sum((F.col(n) >= at).cast("int") for at in STRATA[1:])
+    picked = nodes.join(links, "id", "left").select("id", "room", "v", F.coalesce("n", F.lit(0)).alias("n")).withColumn("s", stratum("n"))
+    sizes = {r.s: r["count"] for r in picked.groupBy("s").count().collect()}  # a row a stratum
+    rows, weight = {}, {}
+    for s, size in sizes.items():
+        part = picked.where(F.col("s") == s).orderBy(*turn).limit(most // 2 if s == 0 else most // 2 // (len(STRATA) - 1)).collect()
+        rows |= {r.id: r for r in part}
+        weight |= {r.id: size / len(part) for r in part}
     if not rows:
         return 1.0
     asked = spark.sparkContext.broadcast([(r.id, r.room, np.array(r.v, np.float64)) for r in rows.values()])
@@ -272,8 +290,13 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, most: int = AUDI
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(hit @ copies)], names=["id", "n"])
 
     true = nodes.select("id", "room", "copies", "v").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    total = sum(r.n for r in true)
-    return sum(min(r.n, rows[r.id].n) for r in true) / total if total else 1.0
+    classes: dict[int, list[float]] = {}
+    for r in true:
+        if r.n:
+            got = classes.setdefault(sum(r.n >= at for at in CLASSES), [0.0, 0.0])
+            got[0] += weight[r.id] * min(r.n, rows[r.id].n) / r.n
+            got[1] += weight[r.id]
+    return min((found / all_ for found, all_ in classes.values()), default=1.0)
 
 
 def near_duplicate_vectors(work: Workspace, vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
@@ -281,7 +304,8 @@ def near_duplicate_vectors(work: Workspace, vectors: DataFrame, threshold: float
 
     Equal vectors of a label are one node with a count. Lists seeded from random projections are refined by local
     joins; a list full of threshold edges is saturated: its vector searches on in other components (see bridged),
-    and its links are counted anew over its whole component, in tiles. Rounds with new projections follow while the audit finds too little. Edges at or above the
+    and its links are counted anew over its whole component, in tiles. Rounds with new projections follow while the audit finds too little; if rounds
+    bring nothing new and it still does, that is an error which names the recall. Edges at or above the
     threshold are kept, none below.
 
     Rows that can't be compared (see usable) have no links, are their own component and stay. Rows that share a
@@ -291,7 +315,8 @@ def near_duplicate_vectors(work: Workspace, vectors: DataFrame, threshold: float
     nodes = work.keep(usable(vectors), "nodes")
     count = nodes.count()
     lists = None
-    for turn in range(MOST_ROUNDS):
+    recall, still, turn, linked = 0.0, 0, 0, -1
+    while recall < LEAST_RECALL and still < MOST_ROUNDS:
         found = seeds(work, nodes, count, turn * ORDERS, k)
         lists = nearest(work, found if lists is None else lists.unionByName(found), k)
         before = lists.where(F.col("cos") >= threshold).count()
@@ -305,8 +330,11 @@ def near_duplicate_vectors(work: Workspace, vectors: DataFrame, threshold: float
         kept, component = bridged(work, nodes, lists, threshold, BRIDGE_ORDER + turn * ORDERS, k)
         links = work.keep(_links(work, nodes, kept, component, threshold, k), "counts")
         recall = audit(nodes, links, threshold)
-        if recall >= LEAST_RECALL:
-            break
+        was, linked = linked, links.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        still, turn = 0 if linked > was else still + 1, turn + 1
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"near-duplicate vectors: after {turn} rounds, the last {still} of them without a new link, the audited recall is {recall:.4f}, less than {LEAST_RECALL}")
+    _LOG.info("near-duplicate vectors: audited recall %.4f after %d rounds", recall, turn)
     per = nodes.select("id", "copies").join(links, "id", "left").join(component, "id", "left")
     per = work.keep(per.select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component")), "result")
     of_row = nodes.select(F.col("id").alias("node"), "room", F.col("v").alias("w")).where("room is not null")

@@ -292,6 +292,20 @@ def test_vectors_of_dense_groups_side_by_side(spark):
     assert len(set(wanted.values())) == 4
 
 
+def test_audit_counts_vectors(spark):
+    """A group with nearly all links doesn't hide that every pair was missed."""
+    from karst.llm.vector_dups import audit
+
+    rng = np.random.default_rng(5)
+    group = [(i, (np.eye(32)[0] + 0.001 * rng.standard_normal(32)).tolist()) for i in range(100)]
+    pairs = [(100 + i, (np.eye(32)[1 + i // 2] + 0.001 * rng.standard_normal(32)).tolist()) for i in range(20)]
+    nodes = spark.createDataFrame([(i, 1, 0, v) for i, v in group + pairs], "id bigint, copies bigint, room bigint, v array<double>")
+    links = [(i, 99) for i, _ in group]
+    assert audit(nodes, spark.createDataFrame(links, "id bigint, n bigint"), 0.98) == 0
+    links += [(i, 1) for i, _ in pairs]
+    assert audit(nodes, spark.createDataFrame(links, "id bigint, n bigint"), 0.98) == 1
+
+
 def test_pii(spark, docs, none):
     from karst.llm import pii
 
