@@ -14,7 +14,7 @@ class Term(NamedTuple):
 
     @property
     def edits(self) -> int:
-        """Misspellings allowed, by length; the first letter must stand."""
+        """Misspellings allowed, by length."""
         n = len(self.text)
         return 0 if n < 5 else 1 if n < 9 else 2
 
@@ -23,14 +23,15 @@ class FuzzyLexicon:
     """look(word) -> (term number + 1, edits) or (0, 0).
 
     A state is the set of (trie node, edits so far) that the letters read can lead to; an edge is computed when it
-    is first taken and kept. Most words leave the trie after a few letters, so states stay few.
+    is first taken and kept. Most words leave the trie after a few letters, so states stay few. The first letter
+    must stand unless `anywhere`: then edits at the root count like others.
     """
 
-    #: States kept before the tables are emptied.
-    MOST_STATES = 200_000
+    #: States, and pairs in them, kept before the tables are emptied.
+    MOST_STATES, MOST_PAIRS = 200_000, 2_000_000
 
-    def __init__(self, terms: Iterable[Term]):
-        self.terms = list(terms)
+    def __init__(self, terms: Iterable[Term], anywhere: bool = False):
+        self.terms, self.anywhere = list(terms), anywhere
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.allowed = [0]
@@ -45,21 +46,26 @@ class FuzzyLexicon:
                 node = self.children[node][c]
                 self.allowed[node] = max(self.allowed[node], term.edits)
             self.ends[node].append(number)
+        self.allowed[0] = max(self.allowed) if anywhere else 0
         self._reset()
 
     def _reset(self) -> None:
         self.numbers: dict[frozenset, int] = {}
+        self.pairs = 0
         self.states: list[frozenset] = []
         self.found: list[tuple[int, int] | None] = []  # a stem is complete: nothing later changes that
         self.at_end: list[tuple[int, int]] = []
         self.edges: list[dict[str, int]] = []
-        self.start = self._number(frozenset([(0, 0)]))
+        start: dict[int, int] = {}
+        self._reach(start, 0, 0)
+        self.start = self._number(frozenset(start.items()))
         self.dead = self._number(frozenset())
 
     def _number(self, state: frozenset) -> int:
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
             self.states.append(state)
+            self.pairs += len(state)
             self.edges.append({})
             stems, words = [], []
             for node, edits in state:
@@ -72,26 +78,25 @@ class FuzzyLexicon:
             self.at_end.append((best[1], best[0]) if best else (0, 0))
         return self.numbers[state]
 
+    def _reach(self, out: dict[int, int], node: int, edits: int) -> None:
+        if edits <= self.allowed[node] and edits < out.get(node, 99):
+            out[node] = edits
+            if node or self.anywhere:  # a letter of the term is missing
+                for child in self.children[node].values():
+                    self._reach(out, child, edits + 1)
+
     def _step(self, state: frozenset, c: str) -> frozenset:
         out: dict[int, int] = {}
-
-        def reach(node: int, edits: int) -> None:
-            if edits <= self.allowed[node] and edits < out.get(node, 99):
-                out[node] = edits
-                if node:  # a letter of the term is missing
-                    for child in self.children[node].values():
-                        reach(child, edits + 1)
-
         for node, edits in state:
             if edits and any(edits <= self.terms[t].edits and not self.terms[t].whole for t in self.ends[node]):
-                reach(node, edits)  # a misspelt stem stays found
+                self._reach(out, node, edits)  # a misspelt stem stays found
             for letter, child in self.children[node].items():
                 if letter == c:
-                    reach(child, edits)
-                elif node:
-                    reach(child, edits + 1)
-            if node:  # a letter too many
-                reach(node, edits + 1)
+                    self._reach(out, child, edits)
+                elif node or self.anywhere:
+                    self._reach(out, child, edits + 1)
+            if node or self.anywhere:  # a letter too many
+                self._reach(out, node, edits + 1)
         return frozenset(out.items())
 
     def look(self, word: str) -> tuple[int, int]:
@@ -99,7 +104,7 @@ class FuzzyLexicon:
         for c in word:
             nxt = edges[state].get(c)
             if nxt is None:
-                if len(self.states) > self.MOST_STATES:
+                if len(self.states) > self.MOST_STATES or (self.pairs > self.MOST_PAIRS and state != self.start):
                     self._reset()
                     return self.look(word)
                 nxt = edges[state][c] = self._number(self._step(self.states[state], c))

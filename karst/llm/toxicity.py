@@ -29,6 +29,7 @@ WINDOW = 8
 CACHE_ENTRIES = 1_000_000
 
 TOKEN = r"[\p{L}\p{N}*@$]+"
+#: A mark at either end that hides a letter is left out: a missing letter is as far from the term as a wrong one.
 _TOKEN = re.compile(r"[^\W_](?:[\w*@$]*[^\W_])?")
 _OPEN = re.compile(r"(?:^|(?<=\s))[\"“«„‘]|[“«„]")
 _CLOSE = re.compile(r"[\"”»’](?=\s|[.,;:!?]|$)|[”»]")
@@ -93,7 +94,7 @@ class Matcher(dict):
 
     def __init__(self, terms: list[tuple[Term, float]], ordinary: frozenset[str] = frozenset()):
         super().__init__()
-        self.lexicon, self.ordinary = FuzzyLexicon([t for t, _ in terms]), ordinary
+        self.lexicon, self.ordinary = FuzzyLexicon([t for t, _ in terms], anywhere=True), ordinary
         self.strength = [0.0, *[w for _, w in terms]]
 
     def __missing__(self, word: str) -> int:

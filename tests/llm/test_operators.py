@@ -204,6 +204,37 @@ def test_automaton_equals_distances():
         assert (number > 0) == bool(fits) and (not fits or edits == min(fits)[0]), (w, terms, fits, number, edits)
 
 
+def test_automaton_with_edits_anywhere():
+    """The whole Levenshtein distance, to a word or to any of its beginnings, small tables or not."""
+    from karst.llm.automaton import FuzzyLexicon, Term
+
+    rng = np.random.default_rng(4)
+    terms = [Term("".join(rng.choice(list("abc"), n)), bool(i % 2)) for i, n in enumerate((3, 5, 6, 7, 9, 10))]
+    small = FuzzyLexicon(terms, anywhere=True)
+    small.MOST_PAIRS = 300
+    lexicon = FuzzyLexicon(terms, anywhere=True)
+    for _ in range(3000):
+        w = list(terms[rng.integers(len(terms))].text)
+        for _ in range(rng.integers(4)):
+            i = rng.integers(len(w)) * rng.integers(2) if w else 0
+            w[i : i + rng.integers(2)] = list(rng.choice(list("abcd"), rng.integers(2)))
+        w = "".join(w)
+        far = [min(lev(w[:n], t.text) for n in ([len(w)] if t.whole else range(len(w) + 1))) for t in terms]
+        fits = [d for d, t in zip(far, terms) if d <= t.edits]
+        number, edits = lexicon.look(w)
+        assert (number > 0) == bool(fits) and (not fits or edits == min(fits)), (w, terms, fits, number, edits)
+        assert small.look(w) == (number, edits)
+
+
+def test_terms_misspelt_in_their_first_letter():
+    from karst.llm import toxicity as tox
+
+    matcher = tox.Matcher([(tox.Term("idiot", True), 1.0), (tox.Term("scoundrel", False), 1.0)])
+    for text in ("you xdiot", "you 1diot", "you @diot", "you diot", "you $coundrels", "you **oundrel", "you zscoundrel"):
+        assert [h[0] < 0 for h in matcher.hits(text)] == [True], text
+    assert [h[0] for h in matcher.hits("@idiot *idiot*")] == [1, 1] and not matcher.hits("you radio")
+
+
 def test_toxicity(spark, docs, labels, none):
     from karst.llm import toxicity as tox
 
