@@ -38,6 +38,7 @@ MAIN = frozenset(["article", "main"])
 RADIUS, SIGMA = 2, 1.0
 
 _WHITE = re.compile(r"\s+")
+_CODE = re.compile(r"\s*([A-Za-z]{2,3})\b")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -52,6 +53,7 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.containers = 0
+        self.declared: str | None = None
 
     def _end_line(self) -> None:
         text = _WHITE.sub(" ", "".join(self.text)).strip()
@@ -74,6 +76,8 @@ class Lines(HTMLParser):
             if name not in INLINE and name not in CLOSED_BY:
                 break
         self.tags += 1
+        if self.declared is None and tag in ("html", "meta"):
+            self.declared = self._language(tag, attrs)
         if tag not in INLINE:
             self._end_line()
         if tag in VOID:
@@ -88,6 +92,16 @@ class Lines(HTMLParser):
             container = self.containers
         self.stack.append((tag, out, container))
 
+    @staticmethod
+    def _language(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
+        if tag == "meta":
+            of = dict(attrs)
+            values = [of.get("content")] if (of.get("http-equiv") or "").strip().lower() == "content-language" else []
+        else:
+            values = [v for k, v in attrs if k in ("lang", "xml:lang")]
+        found = [m for v in values if v and (m := _CODE.match(v))]
+        return found[0][1].lower() if found else None
+
     @staticmethod
     def _beside(attrs: list[tuple[str, str | None]]) -> bool:
         return any(k in ("class", "id", "role") and v and BESIDE.search(_CAMEL.sub("-", v)) for k, v in attrs) or any(k == "hidden" for k, _ in attrs)
@@ -127,7 +141,24 @@ def smooth(values: list[float], radius: int = RADIUS, sigma: float = SIGMA) -> l
     return out
 
 
+def parsed(html: str | None) -> Lines:
+    """The events of a page. declared is the language, in lower case, of the first html or content-language meta
+    element that names one, wherever it is; comments, scripts and styles hold no elements."""
+    html = html or ""
+    tail = html.rfind("<")
+    if tail >= 0 and ">" not in html[tail:] and re.match("[A-Za-z/!?]", html[tail + 1 : tail + 2]):
+        html = html[:tail]  # a tag that the page's end cut off
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    return parser
+
+
 def main_text(html: str | None) -> str:
+    return article(parsed(html).lines)
+
+
+def article(lines: list[tuple[str, int, int]]) -> str:
     """The article's blocks, joined by newlines.
 
     Lines whose smoothed ratio of characters to tags reaches the threshold - the lesser of the page's standard
@@ -136,15 +167,6 @@ def main_text(html: str | None) -> str:
     In a marked container all lines count: a short paragraph of an article is part of it. Outside of one, the lines
     from the first to the last of a cluster do.
     """
-    if not html:
-        return ""
-    tail = html.rfind("<")
-    if tail >= 0 and ">" not in html[tail:] and re.match("[A-Za-z/!?]", html[tail + 1 : tail + 2]):
-        html = html[:tail]  # a tag that the page's end cut off
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    lines = parser.lines
     if not lines:
         return ""
     ratios = smooth([len(t) / max(1, tags) for t, tags, _ in lines])

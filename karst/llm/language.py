@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.llm.common import Workspace, table
-from karst.llm.extraction import main_text
+from karst.llm.extraction import article, parsed
 
-#: Labelled documents the text model is fitted on at most (smallest hashes of doc_id first), and languages.
-TRAIN_ROWS, MOST_LANGUAGES = 8_000, 64
+#: Labelled documents the text model is fitted on at most (smallest hashes of doc_id first).
+TRAIN_ROWS = 8_000
 #: Buckets of hashed letter trigrams; both ends of a word count as letters.
 BUCKETS = 1 << 15
 #: Trigrams a text counts for at most: neighbours aren't independent, so more text is no more evidence.
@@ -29,7 +29,6 @@ MARK_PAGES = 0.5
 CACHE_ENTRIES = 500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_DECLARED = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b|<meta\b[^>]*?http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*?content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.IGNORECASE)
 _PATH = re.compile(r"^/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:/|$)")
 
 
@@ -91,7 +90,7 @@ def fit_text_model(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str],
     cells = found.collect()  # at most BUCKETS rows for each language of the sample
     for r in cells:
         totals[r.lang] = totals.get(r.lang, 0) + r.n
-    languages = sorted(sorted(totals, key=lambda x: (-totals[x], x))[:MOST_LANGUAGES])
+    languages = sorted(totals)
     counts = np.full((len(languages), BUCKETS), 0.05)
     place = {x: i for i, x in enumerate(languages)}
     for r in cells:
@@ -123,11 +122,11 @@ def evidence(pages: DataFrame, languages: list[str], logs: np.ndarray) -> DataFr
         for batch in batches:
             logs_, posts, declared, named, hosts = [], [], [], [], []
             for html, url in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()):
-                z = scores.of(main_text(html))
+                page = parsed(html)
+                z = scores.of(article(page.lines))
                 p = np.exp(z - z.max())
                 logs_.append(z.tolist()), posts.append((p / p.sum()).tolist())
-                mark = _DECLARED.search((html or "")[:65_536])
-                mark = (mark[1] or mark[2]).lower() if mark else None
+                mark = page.declared
                 host, path = host_of(url)
                 suffix = host.rpartition(".")[2]
                 address = path if path in place else suffix if suffix in place else None

@@ -451,6 +451,19 @@ def test_languages(spark):
     assert host_of("HTTP://WWW.Ex.org:80/de-AT/x") == ("www.ex.org", "de")
 
 
+def test_declared_language_anywhere_and_all_languages(spark):
+    from karst.llm.extraction import parsed
+    from karst.llm.language import fit_text_model
+
+    long = "x " * 40_000
+    assert parsed(f"<!-- {long} <html lang=zz> --><html lang='de-AT'>").declared == "de"
+    assert parsed(f"<html><script>'<html lang=zz>'{long}</script><meta content=fr http-equiv=Content-Language>").declared == "fr"
+    assert parsed("<html data-lang=zz xml:lang=es>").declared == "es" and parsed(None).declared is None
+    codes = [f"{a}{b}" for a in "abcdefghij" for b in "abcdefgh"]
+    rows = [(i, f"w{x} q{x}", x) for i, x in enumerate(codes)]
+    assert fit_text_model(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))[0] == codes
+
+
 @pytest.mark.parametrize(
     "html, wanted",
     [
