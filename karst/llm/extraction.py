@@ -33,6 +33,8 @@ BESIDE = re.compile(
     r"comment|comments|commentlist|respond|reply|replies|disqus|complementary|contentinfo|search)(?:$|[\s_-]|\d)",
     re.IGNORECASE,
 )
+#: Those of them that mark what readers added: longer than its article, and still beside it.
+ADDED = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|respond|reply|replies|disqus)(?:$|[\s_-]|\d)", re.IGNORECASE)
 MAIN = frozenset(["article", "main"])
 #: Lines on either side that smoothing looks at, and the standard deviation of its bell in lines.
 RADIUS, SIGMA = 2, 1.0
@@ -44,11 +46,16 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 class Lines(HTMLParser):
     """Parser events to lines: [text, tags, container]. A line ends at block tags and br; container is the number of
-    the innermost article or main element, or 0; text that stands beside an article makes no line."""
+    the innermost article or main element, or 0; text of elements that are apart makes no line. Beside a line stand in
+    `within` the numbers of its ancestors whose class, id or role says that they stand beside an article; of each,
+    `marked` has whether readers added it, and `holds` the main and article elements inside."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # name, silent or apart, container
+        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # name, silent or apart, container, marked ancestors
+        self.within: list[tuple[int, ...]] = []
+        self.marked: list[bool] = []
+        self.holds: list[tuple[str, int, tuple[int, ...], int]] = []  # name, number, marked ancestors, container around
         self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -59,11 +66,13 @@ class Lines(HTMLParser):
         text = _WHITE.sub(" ", "".join(self.text)).strip()
         if text:
             self.lines.append((text, self.tags, self.stack[-1][2] if self.stack else 0))
+            self.within.append(self.stack[-1][3] if self.stack else ())
             self.tags = 0
         self.text.clear()
 
     def _pop_to(self, i: int) -> None:
-        if any(name not in INLINE for name, *_ in self.stack[i:]):
+        outside = self.stack[i - 1][3] if i else ()
+        if any(name not in INLINE or within != outside for name, _, _, within in self.stack[i:]):
             self._end_line()
         del self.stack[i:]
 
@@ -82,15 +91,20 @@ class Lines(HTMLParser):
             self._end_line()
         if tag in VOID:
             return
-        _, out, container = self.stack[-1] if self.stack else ("", False, 0)
+        _, out, container, within = self.stack[-1] if self.stack else ("", False, 0, ())
         if not out:
-            out = tag in SILENT or tag in APART or (tag not in MAIN and tag not in ("html", "body") and self._beside(attrs))
-            if out:
+            out = tag in SILENT or tag in APART or (tag not in MAIN and tag not in ("html", "body") and any(k == "hidden" for k, _ in attrs))
+            beside = not out and tag not in MAIN and tag not in ("html", "body") and self._beside(attrs)
+            if out or beside:
                 self._end_line()
+            if beside:
+                self.marked.append(any(ADDED.search(_CAMEL.sub("-", v)) for k, v in attrs if k in ("class", "id", "role") and v))
+                within = (*within, len(self.marked) - 1)
         if tag in MAIN and not out:
             self.containers += 1
+            self.holds.append((tag, self.containers, within, container))
             container = self.containers
-        self.stack.append((tag, out, container))
+        self.stack.append((tag, out, container, within))
 
     @staticmethod
     def _language(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
@@ -104,7 +118,7 @@ class Lines(HTMLParser):
 
     @staticmethod
     def _beside(attrs: list[tuple[str, str | None]]) -> bool:
-        return any(k in ("class", "id", "role") and v and BESIDE.search(_CAMEL.sub("-", v)) for k, v in attrs) or any(k == "hidden" for k, _ in attrs)
+        return any(k in ("class", "id", "role") and v and BESIDE.search(_CAMEL.sub("-", v)) for k, v in attrs)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -155,25 +169,61 @@ def parsed(html: str | None) -> Lines:
 
 
 def main_text(html: str | None) -> str:
-    return article(parsed(html).lines)
+    return article(parsed(html))
 
 
-def article(lines: list[tuple[str, int, int]]) -> str:
+def _dense(lines: list[tuple[str, int, int]]) -> list[int]:
+    """Lines whose smoothed ratio of characters to tags reaches the lesser of the page's standard deviation and mean."""
+    ratios = smooth([len(t) / max(1, tags) for t, tags, _ in lines])
+    mean = sum(ratios) / len(ratios)
+    spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    threshold = min(mean, spread)
+    return [i for i, r in enumerate(ratios) if r >= threshold]
+
+
+def _left(page: Lines) -> list[tuple[str, int, int]]:
+    """The page's lines without those of marked elements that stand beside the article. A mark doesn't count where
+    the element holds a main element, or the page's only articles, or most of its text in dense lines - of what
+    readers added, only if nothing else would be left. Tags of a line that goes count for the next one."""
+    if not page.marked or not page.lines:
+        return page.lines
+    stays = {m for name, _, within, _ in page.holds if name == "main" for m in within}
+    full = {c for _, _, c in page.lines}
+    outer = [(within, around) for name, number, within, around in page.holds if name == "article" and number in full]
+    if not any(stays.issuperset(within) for within, _ in outer) and not any(name == "main" and number in full for name, number, *_ in page.holds):
+        stays |= {m for within, around in outer if not around for m in within if not page.marked[m]}
+    weight, total = [0] * len(page.marked), 0
+    for i in _dense(page.lines):
+        total += len(page.lines[i][0])
+        for m in page.within[i]:
+            weight[m] += len(page.lines[i][0])
+    most = {m for m, w in enumerate(weight) if 2 * w > total}
+    stays |= {m for m in most if not page.marked[m]}
+    for kept in (stays, stays | most):
+        lines, tags = [], 0
+        for (text, n, container), within in zip(page.lines, page.within):
+            tags += n
+            if kept.issuperset(within):
+                lines.append((text, tags, container))
+                tags = 0
+        if lines:
+            break
+    return lines
+
+
+def article(page: Lines) -> str:
     """The article's blocks, joined by newlines.
 
     Lines whose smoothed ratio of characters to tags reaches the threshold - the lesser of the page's standard
     deviation and mean - form the content clusters. The container (innermost article or main element, or the rest
     of the page) with the most text in clusters holds the article, with containers inside it that have clusters.
     In a marked container all lines count: a short paragraph of an article is part of it. Outside of one, the lines
-    from the first to the last of a cluster do.
+    from the first to the last of a cluster do. Which elements stand beside the article is judged by _left.
     """
+    lines = _left(page)
     if not lines:
         return ""
-    ratios = smooth([len(t) / max(1, tags) for t, tags, _ in lines])
-    mean = sum(ratios) / len(ratios)
-    spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    threshold = min(mean, spread)
-    chosen = [i for i, r in enumerate(ratios) if r >= threshold]
+    chosen = _dense(lines)
     weight: dict[int, int] = {}
     for i in chosen:
         weight[lines[i][2]] = weight.get(lines[i][2], 0) + len(lines[i][0])

@@ -123,7 +123,7 @@ def evidence(pages: DataFrame, languages: list[str], logs: np.ndarray) -> DataFr
             logs_, posts, declared, named, hosts = [], [], [], [], []
             for html, url in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()):
                 page = parsed(html)
-                z = scores.of(article(page.lines))
+                z = scores.of(article(page))
                 p = np.exp(z - z.max())
                 logs_.append(z.tolist()), posts.append((p / p.sum()).tolist())
                 mark = page.declared

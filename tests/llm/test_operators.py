@@ -480,6 +480,23 @@ def test_main_text(html, wanted):
     assert main_text(html) == wanted
 
 
+@pytest.mark.parametrize(
+    "html, wanted",
+    [
+        ('<div class="content-sidebar-wrap"><main><p>The article itself.</p></main><div class="sidebar">links</div></div>', "The article itself."),
+        ('<div class="has-sidebar"><article><p>The article itself.</p></article></div><div class="share">tell others</div>', "The article itself."),
+        ('<div class="with-ads"><p>A long paragraph of text that is the page.</p><div class="ads"><a>buy</a></div></div>', "A long paragraph of text that is the page."),
+        ('<main><p>Short.</p><div class="legal-text"><p>A long paragraph of text that is most of the page.</p></div></main>', "Short.\nA long paragraph of text that is most of the page."),
+        ('<article><p>Short text.</p><div class="comments"><article>A long comment, longer than all of the article.</article></div></article>', "Short text."),
+        ('<article><p>The article itself.</p></article><div class="related"><article>Another one</article></div>', "The article itself."),
+    ],
+)
+def test_main_text_in_marked_wrappers(html, wanted):
+    from karst.llm.extraction import main_text
+
+    assert main_text(html) == wanted
+
+
 def test_extraction(spark):
     from karst.llm.extraction import extract, smooth
 
