@@ -507,6 +507,16 @@ def test_extraction(spark):
     assert smooth([5.0] * 7) == pytest.approx([5.0] * 7)
 
 
+def test_quotas_of_large_nodes_have_hypergeometric_moments():
+    from karst.llm.mixing import EXACT_BELOW, split_quota
+
+    left, right, k = 4 * EXACT_BELOW, EXACT_BELOW, 10_000_000
+    got = np.array([split_quota(np.array([left, right]), k, np.random.default_rng(i)) for i in range(2000)])
+    n, p = left + right, left / (left + right)
+    sd = math.sqrt(k * p * (1 - p) * (n - k) / (n - 1))
+    assert (got.sum(axis=1) == k).all() and abs(got[:, 0].mean() - k * p) < 5 * sd / math.sqrt(2000) and 0.9 < got[:, 0].std() / sd < 1.1
+
+
 def test_mixing(spark, docs, none):
     from karst.llm.mixing import mix, mixed_documents, split_quota
 
