@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import table, words
+from karst.llm.common import SPACE, table
 
 #: Hash buckets of the two multinomials. Both tables have this many rows, whatever the corpus holds.
 BUCKETS = 16_384
@@ -20,42 +21,56 @@ THRESHOLD = -0.25
 #: Scores are sums of whole millionths, so that they don't depend on the order of addition.
 SCALE = 1_000_000
 
-SYMBOLS = "#*$%&|<>"
-WHITE = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]+"
 #: Tokens of the n-grams: runs of letters, marks and digits, and runs of other visible characters.
 TOKENS = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
 
 
-def base_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used and wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _repeated(hashes: Column) -> Column:
+    """Number of words in windows of eight that are there twice or more, from the hashes of all words.
 
-    Windows of eight words are compared by the 64-bit hash of their words' hashes, sorted with their places: those
-    that equal a neighbour are repeated, and what they cover is the sum of gaps between them, eight at most.
+    Windows are compared by 64-bit hashes, made by doubling: of two words, of four, of eight. Only where some window
+    is there twice are they sorted with their places: those that equal a neighbour are repeated, and what they cover
+    is the sum of gaps between them, eight at most.
     """
+    paired = lambda reach: lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + reach)))
+    nothing, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+    eights = _let(_let(_let(hashes, paired(1)), paired(2)), lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - 7, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 4))))
+    suspect = _let(eights, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), h).otherwise(nothing))
+    ordered = F.sort_array(F.transform(suspect, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    same = lambda w, j, x: F.coalesce(F.get(w, j)["h"] == x["h"], F.lit(False))
+    again = F.sort_array(_let(ordered, lambda w: F.transform(F.filter(w, lambda x, j: same(w, j - 1, x) | same(w, j + 1, x)), lambda x: x["i"])))
+    gaps = _let(again, lambda v: F.transform(v, lambda x, j: F.least(F.lit(8), F.coalesce(F.get(v, j + 1) - x, F.lit(8))).cast("long")))
+    return F.aggregate(gaps, zero, lambda total, x: total + x)
+
+
+def base_rules(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(*keep, text.alias("text")).withColumn("words", words(F.col("text")))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, WHITE, "") != "")
+    df = docs.select(*keep, text.alias("text")).withColumn("words", F.array_remove(F.split("text", SPACE, -1), ""))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = (
         df.withColumn("n_words", F.size("words").cast("long"))
-        .withColumn("word_chars", F.char_length(F.translate("text", WHITE, "")).cast("long"))
-        .withColumn("n_symbols", (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long"))
+        .withColumn("word_chars", F.char_length(F.array_join("words", "")).cast("long"))
+        .withColumn("n_symbols", (F.char_length("text") - F.char_length(F.regexp_replace("text", SYMBOLS, ""))).cast("long"))
         .withColumn("lines", lines)
-        .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+        .withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     )
-    df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    windows = F.expr("case when n_words >= 8 then sort_array(transform(sequence(1, size(hashes) - 7), i -> struct(xxhash64(slice(hashes, i, 8)) as h, i as i))) else array() end")
-    df = df.withColumn("windows", windows).drop("words", "lines", "hashes")
-    again = F.expr("sort_array(transform(filter(windows, (x, j) -> (j > 0 and get(windows, j - 1).h = x.h) or (j + 1 < size(windows) and get(windows, j + 1).h = x.h)), x -> x.i))")
-    df = df.withColumn("again", again).drop("windows")
-    covered = F.expr("aggregate(transform(again, (v, j) -> cast(least(8, coalesce(get(again, j + 1), v + 8) - v) as bigint)), 0L, (a, x) -> a + x)")
-    df = df.withColumn("n_repeat_words", covered).drop("again")
+    df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).withColumn("n_repeat_words", _repeated(F.col("h")))
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def _grams(df: DataFrame, n: int) -> DataFrame:
     """Adds grams: array of bucket numbers."""
-    df = df.withColumn("hashes", F.expr(rf"transform(regexp_extract_all(coalesce(text, ''), '{TOKENS.replace(chr(92), chr(92) * 2)}', 0), w -> xxhash64(w))"))
-    return df.withColumn("grams", F.expr(f"concat(transform(hashes, h -> cast(pmod(h, {n}) as int)), transform(hashes, (h, i) -> cast(if(i = 0, -1, pmod(xxhash64(get(hashes, i - 1), h), {n})) as int)))")).drop("hashes")
+    hashes = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKENS), F.lit(0)), lambda w: F.xxhash64(w))
+    bucket = lambda x: F.pmod(x, F.lit(n)).cast("int")
+    follows = lambda h: F.transform(h, lambda x, i: F.when(i == 0, -1).otherwise(bucket(F.xxhash64(F.get(h, i - 1), x))))
+    return df.withColumn("grams", _let(hashes, lambda h: F.concat(F.transform(h, bucket), follows(h))))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, most: int = TRUSTED_ROWS, smoothing: float = SMOOTHING) -> list[int]:
