@@ -507,16 +507,52 @@ def test_extraction(spark):
     assert smooth([5.0] * 7) == pytest.approx([5.0] * 7)
 
 
-def test_quotas_of_large_nodes_have_hypergeometric_moments():
-    from karst.llm.mixing import EXACT_BELOW, split_quota
-
-    left, right, k = 4 * EXACT_BELOW, EXACT_BELOW, 10_000_000
+def test_quotas_of_large_nodes_are_hypergeometric():
+    """Weights against exact probabilities, draws against those and numpy's, and moments beyond numpy's range."""
+    from karst.llm.mixing import _log_weight, draw_large, split_quota
+
+    rng = np.random.default_rng(6)
+    for left, right, k in ((30, 50, 20), (7, 1000, 500), (400, 3, 100)):
+        xs = np.arange(max(0, k - right), min(k, left) + 1)
+        exact = np.array([math.comb(left, x) * math.comb(right, k - x) / math.comb(left + right, k) for x in xs.tolist()])
+        full = [np.full(len(xs), float(v)) for v in (left, right, k)]
+        mine = np.exp(_log_weight(xs.astype(float), *full))
+        assert mine / mine.sum() == pytest.approx(exact, rel=1e-6)
+        n = 40_000
+        got = np.bincount(draw_large(*[np.full(n, v) for v in (left, right, k)], rng) - xs[0], minlength=len(xs))
+        many = exact * n >= 10
+        assert ((got - exact * n)[many] ** 2 / (exact * n)[many]).sum() < many.sum() + 6 * math.sqrt(2 * many.sum() + 1)
+    left, right, k = 4_000_000_000_000, 1_000_000_000_000, 10_000_000
     got = np.array([split_quota(np.array([left, right]), k, np.random.default_rng(i)) for i in range(2000)])
     n, p = left + right, left / (left + right)
     sd = math.sqrt(k * p * (1 - p) * (n - k) / (n - 1))
     assert (got.sum(axis=1) == k).all() and abs(got[:, 0].mean() - k * p) < 5 * sd / math.sqrt(2000) and 0.9 < got[:, 0].std() / sd < 1.1
 
 
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """Equal rows, rows that share an id and rows without one are drawn each by itself, and the mix has the words that
+    were counted; a tree of more than one stretch gives the same totals."""
+    from karst.llm import mixing
+
+    monkeypatch.setattr(mixing, "LEVELS", 2)
+    text = lambda i, n: " ".join(f"w{i}_{j}" for j in range(n))
+    rows = [(1, text(1, 700), "a", 1)] * 2 + [(1, text(2, 900), "a", 2), (None, text(3, 1300), "b", None), (None, text(4, 40), "b", None), (None, None, None, None), (7, text(5, 3000), None, 1)] + [(None, text(6, 600), "b", None)] * 3
+    rows += [(100 + i, text(i, 300), "c", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, score int")
+    got = mixing.mix(Workspace(spark, "t"), df).collect()
+    out = mixing.mixed_documents(Workspace(spark, "t"), df).collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+    taken, emitted = collections.Counter(), collections.Counter()
+    for r in got:
+        taken[r.doc_id, r.source] += r.taken
+    for r in out:
+        emitted[r.doc_id, r.source] += len(WORD.findall(r.text or ""))
+    assert taken == emitted
+    of = {r.source: math.floor(r.target + 1e-9) for r in got}
+    for s, n in of.items():
+        assert sum(r.taken for r in got if r.source == s) == n
+
+
 def test_mixing(spark, docs, none):
     from karst.llm.mixing import mix, mixed_documents, split_quota
 
