@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where that is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir. Where that is unset a temporary one is set, in local mode alone: on a
+    cluster that would be a folder each machine has for itself, and is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='karst-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -58,15 +62,25 @@ def shuffle_parts(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
-def words(text: Column) -> Column:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text as an array; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used and wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def n_words(text: Column) -> Column:
-    """Number of words without building them twice: pieces of the trimmed text."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}$", "")
-    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, SPACE, -1))).cast("long")
+def running(values: Column, kind: str, combine: Callable[[Column, Column], Column]) -> Column:
+    """Array of running totals: combine(x, total before x), the latter null at first. Pieces of the root of the length
+    keep the work below the square of it."""
+    none = F.array().cast(f"array<{kind}>")
+    last = lambda a: F.get(a, F.size(a) - 1)
+
+    def pieces(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda j: F.slice(v, j * size + 1, size))
+        inner = F.transform(cut, lambda c: F.aggregate(c, none, lambda out, x: F.concat(out, F.array(combine(x, last(out))))))
+        shift = lambda parts: F.aggregate(parts, none, lambda out, c: F.concat(out, F.array(combine(last(c), last(out)))))
+        return let(inner, lambda parts: let(shift(parts), lambda s: F.flatten(F.transform(parts, lambda c, j: F.transform(c, lambda x: combine(x, F.get(s, j - 1)))))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, pieces(v)).otherwise(none))
 
 
 def components(work: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import Workspace, table
+from karst.llm.common import Workspace, let, running, table
 
-KINDS = ("email", "ip", "card", "phone", "removed", "generalised")
+#: Kinds of spans: entities, terms that go, and terms that become the class of what they reveal.
+KINDS = ("email", "ip", "card", "phone", "removed", "generalised_email", "generalised_ip", "generalised_card", "generalised_phone")
+#: What stands in the place of each.
+NAMES = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[EMAIL HOLDER]", "[IP HOLDER]", "[CARD HOLDER]", "[PHONE HOLDER]")
+REMOVED = KINDS.index("removed")
 #: Base patterns for Java. Possessive repeats and look-behind change no match: what follows a repeat cannot begin
 #: inside it, and a start inside a run of the same characters fails if the run's own start fails (\G: the place
 #: where the last match ended is such a start). They keep long runs of such characters linear.
@@ -23,14 +27,18 @@ PATTERNS = {
 MAY_HAVE = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TERM = r"\p{L}{3,}+"
 
-#: A term is judged on an entity if they share at least this many different lines.
-LEAST_CONTEXTS = 3
+#: A term is judged on an entity if they share at least this many different contexts.
+LEAST_CONTEXTS = 2
+#: Contexts without the entity that every term is taken to have besides those seen: few contexts are weak evidence.
+PRIOR = 1.0
 #: Share of an entity's information that a term gives: from here on the term is replaced by a class ...
 GENERALISE = 0.90
 #: ... and from here on removed.
-REMOVE = 0.95
-#: Candidate terms that may be broadcast: at most this many, cut at 64 characters, below 16 MB.
+REMOVE = 0.96
+#: Candidate terms that may be broadcast: at most this many, none longer than 64 characters, so below 32 MB.
 BROADCAST_TERMS = 100_000
+#: Code points in a piece, when a text is cut at many places.
+PIECE = 1024
 
 
 def _positions(text: Column | str, pattern: str, kind: str, valid: Callable[[Column], Column] | None = None) -> Column:
@@ -41,18 +49,33 @@ def _positions(text: Column | str, pattern: str, kind: str, valid: Callable[[Col
     """
     text = F.col(text) if isinstance(text, str) else text
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("named_struct('p', 0, 'o', cast(array() as array<struct<s:int,k:int,e:int,t:string>>))")
     number = KINDS.index(kind)
-    test = valid or (lambda t: F.lit(True))
+    pairs = F.filter(F.zip_with(pieces, hits, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["p"] + F.char_length(x["a"])
-        end = at + F.char_length(x["b"])
-        grown = F.concat(acc["o"], F.array(F.struct(at.alias("s"), F.lit(number).alias("k"), end.alias("e"), x["b"].alias("t"))))
-        return F.struct(end.alias("p"), F.when(test(x["b"]), grown).otherwise(acc["o"]).alias("o"))
+    def placed(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: F.char_length(x["a"]) + F.char_length(x["b"])), "int", lambda x, before: x + F.coalesce(before, F.lit(0)))
+        return let(ends, lambda at: F.transform(p, lambda x, i: F.struct((F.get(at, i) - F.char_length(x["b"])).alias("s"), F.lit(number).alias("k"), F.get(at, i).alias("e"), x["b"].alias("t"))))
 
-    pairs = F.zip_with(pieces, hits, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.aggregate(F.filter(pairs, lambda x: x["b"].isNotNull()), empty, step, lambda acc: acc["o"])
+    found = let(pairs, placed)
+    return F.filter(found, lambda x: valid(x["t"])) if valid else found
+
+
+def _replaced(text: Column, spans: Column, name: Callable[[Column], Column]) -> Column:
+    """The text with name(span) in the place of each span. spans are in order; of overlapping ones the first names the
+    place, and all of them go. The text is cut in pieces first, so that no cut counts its place from the beginning."""
+
+    def part(pieces: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+        return F.when(end > start, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start % PIECE + 1, end - start)).otherwise("")
+
+    def built(pieces: Column, upto: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0))
+        body = F.transform(spans, lambda x, i: F.concat(part(pieces, before(i), x["s"]), F.when(x["s"] >= before(i), name(x)).otherwise("")))
+        return F.concat(F.array_join(body, ""), part(pieces, before(F.size(upto)), F.char_length(text)))
+
+    upto = running(F.transform(spans, lambda x: x["e"]), "int", lambda x, before: F.greatest(x, before))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return let(pieces, lambda p: let(upto, lambda u: built(p, u)))
 
 
 def _small_number(part: Column) -> Column:
@@ -93,71 +116,87 @@ def _text_only(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode_outer(F.split("text", "\n", -1)).alias("text")).where("text <> ''")
-
-
-def _blanked(text: str, base: str) -> Column:
-    """The text with its base matches blanked, so that parts of an entity aren't terms."""
-    start = F.struct(F.lit(0).alias("p"), F.lit("").alias("o"))
-    before = lambda p, e: F.substring(F.col(text), p + 1, F.greatest(F.lit(0), e - p))
-    step = lambda acc, x: F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.concat(acc["o"], before(acc["p"], x["s"]), F.lit(" ")).alias("o"))
-    return F.aggregate(base, start, step, lambda acc: F.concat(acc["o"], before(acc["p"], F.char_length(F.col(text)))))
+def _contexts(docs: DataFrame, *keep: str) -> DataFrame:
+    """A row each line with a visible character: line, near (it with the lines before and after), context (a hash of
+    the three). Signatures and tables have a name on one line and what belongs to it on the next."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\S"))
+    three = let(lines, lambda l: F.transform(l, lambda x, i: F.struct(F.get(l, i - 1).alias("a"), x.alias("b"), F.get(l, i + 1).alias("c"))))
+    rows = docs.select(*keep, F.explode_outer(three).alias("x")).where("x is not null")
+    none = F.lit("\n")
+    return rows.select(*keep, F.col("x.b").alias("line"), F.concat_ws("\n", "x.a", "x.b", "x.c").alias("near"), F.xxhash64(F.coalesce("x.a", none), "x.b", F.coalesce("x.c", none)).alias("context"))
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _ratio(n_lines: int) -> Column:
+def _ratio(n_contexts: int) -> Column:
     """Share of the entity's information that the term gives, from counts c_te, c_t and c_e."""
-    own = F.log2(F.lit(float(max(n_lines, 2))) / F.col("c_e"))
-    return 1 - F.log2(F.greatest(F.col("c_t"), F.col("c_te")) / F.col("c_te")) / F.greatest(own, F.lit(1e-9))
+    own = F.log2(F.lit(float(max(n_contexts, 2))) / F.col("c_e"))
+    return 1 - F.log2((F.greatest(F.col("c_t"), F.col("c_te")) + PRIOR) / F.col("c_te")) / F.greatest(own, F.lit(1e-9))
 
 
 def revealing_terms(work: Workspace, docs: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
-    """(terms: term, entity, ratio, action; occurrences: term, line, text) over the whole corpus.
-
-    The context is the line; equal lines are one context, so copies of a document add none. c(t, e) counts lines
-    with term and entity, c(t) and c(e) lines with either, N all lines. The pointwise information that t gives of
-    e, log2(P(e|t) / P(e)), is set against the information of e itself, -log2 P(e); at a ratio of `generalise` or
-    more the term discloses the entity. Terms and entities that share fewer than `least` lines are not judged.
+    """(terms: term, entity, ratio, action; occurrences: doc, context, term) over the whole corpus.
+
+    A context is a line with its neighbours; equal contexts are one, so copies of a document add none. c(t, e) counts
+    contexts whose line has the term and that hold the entity, c(t) those whose line has the term, c(e) those that
+    hold the entity, N all. The pointwise information that t gives of e, log2(P(e|t) / P(e)), with PRIOR contexts
+    without e added to c(t), is set against the information of e itself, -log2 P(e); at a ratio of `generalise` or
+    more the term discloses the entity, whose class is that of its kind. Terms and entities that share fewer than
+    `least` contexts are not judged.
     """
     texts = _text_only(docs)
-    n_lines = _lines(texts).select(F.xxhash64("text").alias("h")).distinct().count()
+    n_contexts = _contexts(texts).select("context").distinct().count()
     may = "|".join(f"(?:{p})" for p in MAY_HAVE.values())
-    lines = _with_base(_lines(texts.where(F.col("text").rlike(may))).where(F.col("text").rlike(may)))
-    held = lines.select(F.xxhash64("text").alias("line"), _terms(_blanked("text", "base")).alias("terms"), F.array_distinct(F.transform("base", lambda x: F.concat(x["k"].cast("string"), F.lit(":"), F.lower(x["t"])))).alias("entities"))
-    held = held.select("line", "terms", F.explode_outer("entities").alias("entity")).where("entity is not null").groupBy("entity", "line").agg(F.first("terms").alias("terms"))
-    held = work.keep(held, "contexts")
-    of_entity = held.groupBy("entity").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= least)
-    pairs = held.join(of_entity, "entity", "left_semi").select("entity", F.explode_outer("terms").alias("term")).where("term is not null")
+    some = _contexts(texts.where(F.col("text").rlike(may))).where(F.col("near").rlike(may))
+    some = _with_base(some.groupBy("context").agg(F.first("line").alias("line"), F.first("near").alias("text"))).withColumnRenamed("base", "held")
+    some = _with_base(some.select("context", "held", F.col("line").alias("text")))
+    held = some.select("context", _terms(_replaced(F.col("text"), F.col("base"), lambda x: F.lit(" "))).alias("terms"), F.array_distinct(F.transform("held", lambda x: F.concat(x["k"].cast("string"), F.lit(":"), F.lower(x["t"])))).alias("entities"))
+    held = work.keep(held.where(F.size("entities") > 0), "contexts")
+    of_entity = work.keep(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("c_e")), "entities")
+    pairs = held.select(F.explode_outer("entities").alias("entity"), "terms").select("entity", F.explode_outer("terms").alias("term")).where("term is not null")
     pairs = work.keep(pairs.groupBy("term", "entity").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= least), "pairs")
-    # A term occurs in no fewer lines than in those with entities: who discloses too little by that count is out
+    # A term stands in no fewer contexts than in those with entities: what discloses too little by that count is out
     # before the corpus is searched, and so are all common words.
-    seen = held.groupBy("line").agg(F.first("terms").alias("terms")).select(F.explode_outer("terms").alias("term")).where("term is not null")
-    seen = seen.groupBy("term").agg(F.count("*").alias("c_t"))
-    pairs = work.keep(pairs.join(seen, "term").join(of_entity, "entity").withColumn("ratio", _ratio(n_lines)).where(F.col("ratio") >= generalise).select("term", "entity", "c_te"), "likely")
-    candidates = pairs.select(F.col("term").alias("candidate")).distinct()
-    if pairs.count() <= BROADCAST_TERMS and not pairs.where("length(term) > 64").limit(1).count():
+    seen = held.select(F.explode_outer("terms").alias("term")).where("term is not null")
+    seen = work.keep(seen.groupBy("term").agg(F.count("*").alias("c_t")), "seen")
+    pairs = work.keep(pairs.join(seen, "term").join(of_entity, "entity").withColumn("ratio", _ratio(n_contexts)).where(F.col("ratio") >= generalise).select("term", "entity", "c_te"), "likely")
+    candidates = work.keep(pairs.select(F.col("term").alias("candidate")).distinct(), "candidates")  # written, so that a hot term's join can be split
+    if candidates.count() <= BROADCAST_TERMS and candidates.where("length(candidate) > 64").isEmpty():
         candidates = F.broadcast(candidates)
-    spread = texts.select(F.xxhash64("text").alias("doc"), F.explode_outer(F.split("text", "\n", -1)).alias("line"))
-    spread = spread.select("doc", F.xxhash64("line").alias("line"), F.explode_outer(_terms(F.col("line"))).alias("term"))
+    spread = _contexts(texts.withColumn("doc", F.xxhash64("text")), "doc").select("doc", "context", F.explode_outer(_terms(F.col("line"))).alias("term"))
     occurrences = work.keep(spread.join(candidates, F.col("term") == F.col("candidate"), "left_semi").distinct(), "occurrences")
-    of_term = occurrences.groupBy("term").agg(F.countDistinct("line").alias("c_t"))
+    of_term = work.keep(occurrences.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("c_t")), "terms")
     judged = pairs.join(of_term, "term").join(of_entity, "entity")
-    judged = judged.withColumn("ratio", _ratio(n_lines)).where(F.col("ratio") >= generalise)
-    judged = judged.groupBy("term").agg(F.max("ratio").alias("ratio"), F.max_by("entity", "ratio").alias("entity"))
-    action = F.when(F.col("ratio") >= remove, KINDS.index("removed")).otherwise(KINDS.index("generalised"))
-    return judged.select("term", "entity", "ratio", action.alias("action")), occurrences
+    judged = judged.withColumn("ratio", _ratio(n_contexts)).where(F.col("ratio") >= generalise)
+    best = judged.groupBy("term").agg(F.max(F.struct("ratio", "entity")).alias("b")).select("term", "b.entity", "b.ratio")
+    kind = F.substring_index("entity", ":", 1).cast("int")
+    action = F.when(F.col("ratio") >= remove, REMOVED).otherwise(REMOVED + 1 + kind)
+    return work.keep(best.withColumn("action", action), "judged"), occurrences
+
+
+def _clear(base: Column, more: Column) -> Column:
+    """base and those spans of more that overlap none of base, by start, then kind."""
+    far = F.lit(2**31 - 1)
+    is_base = lambda x: x["k"] < REMOVED
+
+    def kept(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda x: F.when(is_base(x), x["e"]).otherwise(0)), "int", lambda x, before: F.greatest(x, before))
+        starts = F.reverse(running(F.reverse(F.transform(spans, lambda x: F.when(is_base(x), x["s"]).otherwise(far))), "int", lambda x, after: F.least(x, after)))
+        free = lambda e, s, x, i: (F.coalesce(F.get(e, i - 1), F.lit(0)) <= x["s"]) & (F.coalesce(F.get(s, i + 1), far) >= x["e"])
+        return let(ends, lambda e: let(starts, lambda s: F.filter(spans, lambda x, i: is_base(x) | free(e, s, x, i))))
+
+    return let(F.array_sort(F.concat(base, more)), kept)
 
 
 def personal_data(work: Workspace, docs: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone, found (array<struct<s, k, e, t>> by start, then kind; k is the
     place in KINDS) and base (those of them that the base patterns found).
 
-    Null texts count as empty and hold nothing; repeated rows are treated each; an empty table gives no row; columns
-    of docs with one of the names added here give way.
+    Null texts count as empty and hold nothing; repeated rows are treated each; texts are searched whole, whatever
+    their length and number of matches; of terms that disclose several entities alike much the last entity names the
+    class; an empty table gives no row; columns of docs with one of the names added here give way.
     """
     terms, occurrences = revealing_terms(work, docs, least, generalise, remove)
     listed = occurrences.join(terms.select("term", "action"), "term").groupBy("doc").agg(F.collect_set(F.struct("term", "action")).alias("terms_"))
@@ -166,12 +205,10 @@ def personal_data(work: Workspace, docs: DataFrame, least: int = LEAST_CONTEXTS,
     df = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in kept], F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_", F.xxhash64("text"))
     df = df.join(listed, df.doc_ == listed.doc, "left").drop("doc", "doc_")
     df = _with_base(df)
-    named = F.transform("terms_", lambda x: x["term"])
-    clear = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    seen = F.filter(_positions("text", TERM, "removed", lambda t: F.array_contains(named, F.lower(t))), clear)
-    with_action = F.transform(seen, lambda x: F.struct(x["s"].alias("s"), F.element_at(F.map_from_entries("terms_"), F.lower(x["t"])).alias("k"), x["e"].alias("e"), x["t"].alias("t")))
-    df = df.withColumn("more", F.when(F.col("terms_").isNotNull(), with_action))
-    df = df.withColumn("found", F.when(F.col("more").isNull() | (F.size("more") == 0), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))))
+    action = lambda t: F.get(F.filter("terms_", lambda x: x["term"] == F.lower(t)), F.lit(0))["action"]
+    seen = F.transform(_positions("text", TERM, "removed"), lambda x: F.struct(x["s"].alias("s"), action(x["t"]).alias("k"), x["e"].alias("e"), x["t"].alias("t")))
+    df = df.withColumn("more", F.when(F.col("terms_").isNotNull(), F.filter(seen, lambda x: x["k"].isNotNull())))
+    df = df.withColumn("found", F.when(F.col("more").isNull() | (F.size("more") == 0), F.col("base")).otherwise(_clear(F.col("base"), F.col("more"))))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
     return df.select(*[F.col(f"`in_{c}`").alias(c) for c in kept], *counts, "base", "found")
 
@@ -183,16 +220,10 @@ def spelled(spans: str) -> Column:
 
 
 def sanitised(df: DataFrame) -> DataFrame:
-    """personal_data()'s rows with text changed: an entity and a generalised term become their kind in brackets, a
-    removed term goes. Overlapping spans are one, named by the first."""
-    names = F.array(*[F.lit(t) for t in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[TERM]")])
-    start = F.struct(F.lit(0).alias("p"), F.lit("").alias("o"))
-
-    def step(acc: Column, x: Column) -> Column:
-        grown = F.concat(acc["o"], F.substring(F.col("text"), acc["p"] + 1, F.greatest(F.lit(0), x["s"] - acc["p"])), F.element_at(names, x["k"] + 1))
-        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.when(x["s"] >= acc["p"], grown).otherwise(acc["o"]).alias("o"))
-
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["o"], F.substring(F.col("text"), acc["p"] + 1, F.char_length(F.col("text")))))
+    """personal_data()'s rows with text changed: an entity becomes its kind in brackets, a generalised term the class of
+    what it reveals, a removed term goes. Overlapping spans are one, named by the first. Null texts stay null."""
+    names = F.array(*[F.lit(t) for t in NAMES])
+    clean = _replaced(F.col("text"), F.col("found"), lambda x: F.element_at(names, x["k"] + 1))
     return df.withColumn("text", F.when(F.size("found") > 0, clean).otherwise(F.col("text")))
 
 

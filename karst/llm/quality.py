@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import SPACE, table
+from karst.llm.common import SPACE, let, table
 
 #: Hash buckets of the two multinomials. Both tables have this many rows, whatever the corpus holds.
 BUCKETS = 16_384
@@ -26,11 +25,6 @@ SYMBOLS = "[#*$%&|<>]+"
 TOKENS = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often it is used and wherever the optimiser moves the expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _repeated(hashes: Column) -> Column:
     """Number of words in windows of eight that are there twice or more, from the hashes of all words.
 
@@ -40,12 +34,12 @@ def _repeated(hashes: Column) -> Column:
     """
     paired = lambda reach: lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + reach)))
     nothing, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
-    eights = _let(_let(_let(hashes, paired(1)), paired(2)), lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - 7, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 4))))
-    suspect = _let(eights, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), h).otherwise(nothing))
+    eights = let(let(let(hashes, paired(1)), paired(2)), lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - 7, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 4))))
+    suspect = let(eights, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), h).otherwise(nothing))
     ordered = F.sort_array(F.transform(suspect, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     same = lambda w, j, x: F.coalesce(F.get(w, j)["h"] == x["h"], F.lit(False))
-    again = F.sort_array(_let(ordered, lambda w: F.transform(F.filter(w, lambda x, j: same(w, j - 1, x) | same(w, j + 1, x)), lambda x: x["i"])))
-    gaps = _let(again, lambda v: F.transform(v, lambda x, j: F.least(F.lit(8), F.coalesce(F.get(v, j + 1) - x, F.lit(8))).cast("long")))
+    again = F.sort_array(let(ordered, lambda w: F.transform(F.filter(w, lambda x, j: same(w, j - 1, x) | same(w, j + 1, x)), lambda x: x["i"])))
+    gaps = let(again, lambda v: F.transform(v, lambda x, j: F.least(F.lit(8), F.coalesce(F.get(v, j + 1) - x, F.lit(8))).cast("long")))
     return F.aggregate(gaps, zero, lambda total, x: total + x)
 
 
@@ -70,7 +64,7 @@ def _grams(df: DataFrame, n: int) -> DataFrame:
     hashes = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKENS), F.lit(0)), lambda w: F.xxhash64(w))
     bucket = lambda x: F.pmod(x, F.lit(n)).cast("int")
     follows = lambda h: F.transform(h, lambda x, i: F.when(i == 0, -1).otherwise(bucket(F.xxhash64(F.get(h, i - 1), x))))
-    return df.withColumn("grams", _let(hashes, lambda h: F.concat(F.transform(h, bucket), follows(h))))
+    return df.withColumn("grams", let(hashes, lambda h: F.concat(F.transform(h, bucket), follows(h))))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, most: int = TRUSTED_ROWS, smoothing: float = SMOOTHING) -> list[int]:

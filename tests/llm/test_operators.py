@@ -366,25 +366,46 @@ def test_pii(spark, docs, none):
 
 
 def test_disclosing_terms(spark):
-    """A nickname that always stands with an address discloses it, also where the address is missing."""
+    """A nickname that always stands with an address, or on the line above it, discloses it, also where the address is
+    missing; counts by plain loops agree. Terms next to phones become the class of what they reveal."""
     from karst.llm import pii
 
     rows = [(i, f"line number {i}\nthe falconer wrote from jo@ex.org about item{i} today") for i in range(6)]
-    rows += [(10, "we met the falconer at home"), (11, "the item was sent today"), *[(20 + i, f"other lines about the weather {i}") for i in range(30)]]
+    rows += [(10, "we met the falconer at home"), (11, "the item was sent today"), *[(20 + i, f"other lines about the weather {i}") for i in range(6000)]]
+    rows += [(9400 + i, f"notes of day {'y' * (i + 1)}\n\nGwendolyn Fairweather\n+1 555 123 4567") for i in range(2)] + [(9500, "ask Gwendolyn about it"), (9501, None), (9502, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = pii.personal_data(Workspace(spark, "t"), df)
     by = {r.doc_id: r for r in pii.sanitised(found).collect()}
     assert "falconer" not in by[10].text and by[25].text == dict(rows)[25]
-    counts = collections.Counter()
-    contexts = {ln for _, t in rows for ln in t.split("\n")}
-    for ln in contexts:
-        counts.update(set(re.findall(r"[^\W\d_]{3,}", ln.replace("jo@ex.org", " "))))
-    with_e = [ln for ln in contexts if "jo@ex.org" in ln]
-    info = math.log2(len(contexts) / len(with_e))
-    shared = collections.Counter(w for ln in with_e for w in set(re.findall(r"[^\W\d_]{3,}", ln.replace("jo@ex.org", " "))))
-    wanted = {w for w, c in shared.items() if c >= 3 and 1 - math.log2(counts[w] / c) / info >= pii.GENERALISE}
-    terms, _ = pii.revealing_terms(Workspace(spark, "t"), df)
-    assert {r.term for r in terms.collect()} == wanted
+    assert by[9500].text == "ask [PHONE HOLDER] about it" and by[9400].text.endswith("[PHONE HOLDER] [PHONE HOLDER]\n[PHONE]")
+    entity = re.compile(r"jo@ex\.org|\+1 555 123 4567")
+    contexts = set()
+    for _, t in rows:
+        lines = [None, *[x for x in (t or "").split("\n") if x.strip()], None]
+        contexts |= {tuple(lines[i - 1 : i + 2]) for i in range(1, len(lines) - 1)}
+    held = {c: {m for x in c if x for m in entity.findall(x)} for c in contexts}
+    terms = {c: set(re.findall(r"[^\W\d_]{3,}", entity.sub(" ", c[1]).lower())) for c in contexts}
+    c_e, c_t, c_te = collections.Counter(e for c in contexts for e in held[c]), collections.Counter(t for c in contexts for t in terms[c]), collections.Counter((t, e) for c in contexts for t in terms[c] for e in held[c])
+    ratio = {k: 1 - math.log2((c_t[k[0]] + pii.PRIOR) / n) / math.log2(len(contexts) / c_e[k[1]]) for k, n in c_te.items() if n >= pii.LEAST_CONTEXTS}
+    wanted = {t: max(r for (u, _), r in ratio.items() if u == t) for (t, _), r in ratio.items() if r >= pii.GENERALISE}
+    got = {r.term: r.ratio for r in pii.revealing_terms(Workspace(spark, "t"), df)[0].collect()}
+    assert got == pytest.approx(wanted) and {"falconer", "gwendolyn", "fairweather"} <= set(got)
+
+
+def test_replacing_many_spans(spark):
+    """Texts with many matches, beyond the length of a piece, and overlapping spans, against plain slicing."""
+    from karst.llm import pii
+
+    text = " ".join(f"é{i}😀 u{i}@ex{i}.org 10.0.{i % 256}.{i % 250} +1.1.1.{i % 9}.555.123.45" for i in range(3000))
+    df = spark.createDataFrame([(1, text), (2, "no match"), (3, "")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in pii._with_base(df).select("*", pii._replaced(F.col("text"), F.col("base"), lambda x: F.concat(F.lit("<"), x["k"].cast("string"), F.lit(">"))).alias("out")).collect()}
+    out, p = [], 0
+    for s, k, e, t in rows[1].base:
+        assert text[s:e] == t
+        if s >= p:
+            out.append(text[p:s] + f"<{k}>")
+        p = max(p, e)
+    assert rows[1].out == "".join(out) + text[p:] and len(rows[1].base) > 6000 and rows[2].out == "no match" and rows[3].out == ""
 
 
 def plain_rules(x):
