@@ -7,16 +7,17 @@ from typing import NamedTuple
 
 
 class Term(NamedTuple):
-    """A lexicon entry: a whole word, or a stem that any ending may follow."""
+    """A lexicon entry: a whole word, or a stem that any ending may follow; exact: no misspelling of it counts."""
 
     text: str
     whole: bool
+    exact: bool = False
 
     @property
     def edits(self) -> int:
         """Misspellings allowed, by length."""
         n = len(self.text)
-        return 0 if n < 5 else 1 if n < 9 else 2
+        return 0 if n < 5 or self.exact else 1 if n < 9 else 2
 
 
 class FuzzyLexicon:

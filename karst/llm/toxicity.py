@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.llm.automaton import FuzzyLexicon, Term
-from karst.llm.common import Workspace, table
+from karst.llm.common import Workspace, let, table
 
 THRESHOLD = 0.7
 #: Labelled rows the lexicon and the weights are learnt from at most (smallest hashes of doc_id first).
@@ -22,11 +25,17 @@ MOST_TERMS = 4_000
 STEMS = (3, 4, 5, 6, 7, 8, 9)
 #: A term needs so many toxic documents and different neighbourhoods (copies of a text have the same ones) ...
 LEAST_SUPPORT = 3
+#: Chance that any form that has nothing to do with toxicity becomes a term.
+FALSE_TERMS = 0.05
+#: Weight of a toxic row's second copy, whose terms are misspelt: labels alone may hold no misspelling to learn from.
+MISSPELT_WEIGHT = 0.3
 #: ... and at most this share of clean ones.
 MOST_CLEAN = 0.01
 #: Words on either side of a hit that are its context.
 WINDOW = 8
 CACHE_ENTRIES = 1_000_000
+#: Different ordinary words around a term from which on a word near it is no evidence of a misspelling.
+CROWDED = 2
 
 TOKEN = r"[\p{L}\p{N}*@$]+"
 #: A mark at either end that hides a letter is left out: a missing letter is as far from the term as a wrong one.
@@ -36,7 +45,7 @@ _CLOSE = re.compile(r"[\"”»’](?=\s|[.,;:!?]|$)|[”»]")
 #: Words that report what somebody else said.
 REPORTS = frozenset("said says say wrote writes quoted quote quotes called calls word words term terms insult slur reported dit disait écrit mot sagte sagt schrieb wort zitat dijo dice escribió palabra".split())
 
-FEATURES = ("any_plain", "strength", "log_plain", "any_fuzzy", "log_fuzzy", "any_quoted")
+FEATURES = ("most_plain", "strength", "log_plain", "most_fuzzy", "log_fuzzy", "log_quoted")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,20 +60,39 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # at most `most` rows
 
 
+def significant(toxic: int, clean: int, share: float, forms: int) -> bool:
+    """Whether so many toxic documents among those with a form can't be chance, where `share` of all are toxic and so
+    many forms are tried: Chernoff's bound on the binomial tail, times the number of forms, is below FALSE_TERMS."""
+    n = toxic + clean
+    p = toxic / n
+    if p <= share:
+        return False
+    far = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0)
+    return n * far >= math.log(forms / FALSE_TERMS)
+
+
 def learn_lexicon(train: DataFrame) -> list[tuple[Term, float]]:
-    """Whole words and stems that toxic documents have and clean ones don't, each in the form that covers most, and
-    the log of its toxic documents over its clean ones."""
+    """Whole words and stems that toxic documents have and clean ones don't, by more than chance, each in the form that
+    covers most, and the log of its toxic documents over its clean ones. Near copies are one document."""
+    sizes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}  # two rows
+    if not sizes.get(0) or not sizes.get(1):
+        return []
+    share = sizes[1] / (sizes[0] + sizes[1])
     tokens = F.filter(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), lambda w: F.trim(w, F.lit("*@$"))), lambda w: w != "")
-    words = train.withColumn("w", tokens).select("doc_id", "toxic", "w")
+    sketch = let(F.col("w"), lambda w: F.array_min(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3)))))
+    words = train.withColumn("w", tokens).select("toxic", "w", sketch.alias("sketch"))  # the least shingle: near copies mostly share it and count once
     forms = lambda w: F.concat(F.array(F.concat(w, F.lit("$"))), *[F.when(F.length(w) > n, F.array(F.substring(w, 1, n))).otherwise(F.array().cast("array<string>")) for n in STEMS])
     near = F.expr("transform(w, (x, i) -> struct(x as x, xxhash64(get(w, i - 1), get(w, i + 1)) as c))")
-    toxic = words.where("toxic = 1").withColumn("near", near).select("doc_id", F.explode_outer("near").alias("n")).where("n is not null")
-    toxic = toxic.select("doc_id", "n.c", F.explode_outer(forms(F.col("n.x"))).alias("form"))
-    toxic = toxic.groupBy("form").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("c").alias("places")).where(F.least("docs", "places") >= LEAST_SUPPORT)
+    toxic = words.where("toxic = 1").withColumn("near", near).select("sketch", F.explode_outer("near").alias("n")).where("n is not null")
+    toxic = toxic.select("sketch", "n.c", F.explode_outer(forms(F.col("n.x"))).alias("form"))
+    toxic = toxic.groupBy("form").agg(F.countDistinct("sketch").alias("docs"), F.countDistinct("c").alias("places")).where(F.least("docs", "places") >= LEAST_SUPPORT)
     clean = words.where("toxic = 0").select(F.explode_outer(F.array_distinct(F.flatten(F.transform("w", forms)))).alias("form")).where("form is not null")
     clean = clean.groupBy("form").agg(F.count("*").alias("clean"))
-    good = toxic.join(clean, "form", "left").withColumn("clean", F.coalesce("clean", F.lit(0))).where(F.col("clean") <= MOST_CLEAN * F.col("docs"))
-    rows = good.orderBy(F.desc("docs"), F.desc(F.length("form")), "form").limit(20 * MOST_TERMS).collect()
+    found = toxic.join(clean, "form", "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
+    few = F.col("clean") <= MOST_CLEAN * F.col("docs")
+    forms_tried = found.agg(F.count("*")).first()[0]
+    rows = found.where(few).orderBy(F.desc("docs"), F.desc(F.length("form")), "form").limit(20 * MOST_TERMS).collect()
+    rows = [r for r in rows if significant(min(r.docs, r.places), r.clean, share, forms_tried)]
     clean_of = {r.form: r.clean for r in rows}
     terms = widest({r.form: r.docs for r in rows})[:MOST_TERMS]
     return [(t, float(np.log((n + 0.5) / (clean_of[f] + 0.5)))) for f, t, n in terms]
@@ -105,34 +133,43 @@ class Matcher(dict):
         self[word] = found
         return found
 
-    def hits(self, text: str) -> list[tuple[int, bool, str]]:
-        """(term, quoted, word) of each hit. A hit is quoted if its context has an open quotation mark before and
-        a closing one after it, or one of these and a word of reporting."""
+    def hits(self, text: str) -> list[tuple[int, float, str]]:
+        """(term, quotation, word) of each hit. quotation, 0 to 1, scores the window around it: how near an open
+        quotation mark stands before and a closing one after it, and a word of reporting with either of them."""
         low = text.lower()
         words = _TOKEN.findall(low)
         found = list(map(self.__getitem__, words))
         if not any(found):
             return []
         spans = [m.span() for m in _TOKEN.finditer(low)]
+        starts = [s for s, _ in spans]
         out = []
         for i, term in enumerate(found):
             if term:
-                before = low[spans[max(0, i - WINDOW)][0] : spans[i][0]]
-                after = low[spans[i][1] : spans[min(len(spans) - 1, i + WINDOW)][1]]
-                opened = max((m.start() for m in _OPEN.finditer(before)), default=-1) > max((m.start() for m in _CLOSE.finditer(before)), default=-2)
-                closed = _CLOSE.search(after) is not None
-                reported = any(w in REPORTS for w in words[max(0, i - WINDOW) : i + WINDOW + 1])
-                out.append((term, (opened and closed) or (reported and (opened or closed)), words[i]))
+                first, last = max(0, i - WINDOW), min(len(spans) - 1, i + WINDOW)
+                begin, end = max(0, starts[first] - 1), spans[last][1] + 1 if last < len(spans) - 1 else len(low)
+                opened = max((m.start() for m in _OPEN.finditer(low, begin, starts[i])), default=-1)
+                shut = max((m.start() for m in _CLOSE.finditer(low, begin, starts[i])), default=-1)
+                closing = _CLOSE.search(low, spans[i][1], end)
+                before = 1 - (i - bisect_left(starts, opened)) / (WINDOW + 1) if opened > shut else 0.0
+                after = 1 - (bisect_left(starts, closing.start()) - i - 1) / (WINDOW + 1) if closing else 0.0
+                told = max((1 - (abs(j - i) - 1) / (WINDOW + 1) for j in range(first, last + 1) if words[j] in REPORTS), default=0.0)
+                out.append((term, 1 - (1 - before * after) * (1 - told * max(before, after)), words[i]))
         return out
 
-    def features(self, hits: list[tuple[int, bool, str]]) -> list[float]:
-        plain = [t for t, q, _ in hits if t > 0 and not q]
-        fuzzy = sum(t < 0 and not q for t, q, _ in hits)
-        strength = sum(self.strength[t] for t in set(plain))
-        return [float(bool(plain)), strength ** 0.5, float(np.log1p(len(plain))), float(fuzzy > 0), float(np.log1p(fuzzy)), float(any(q for _, q, _ in hits))]
+    def features(self, hits: list[tuple[int, float, str]]) -> list[float]:
+        """FEATURES of a document; a hit counts by what its context leaves of it."""
+        best: dict[int, float] = {}
+        for t, c, _ in hits:
+            if t > 0:
+                best[t] = max(best.get(t, 0.0), 1 - c)
+        fuzzy = [1 - c for t, c, _ in hits if t < 0]
+        strength = sum(self.strength[t] * live for t, live in best.items())
+        plain = sum(1 - c for t, c, _ in hits if t > 0)
+        return [max(best.values(), default=0.0), strength**0.5, math.log1p(plain), max(fuzzy, default=0.0), math.log1p(sum(fuzzy)), math.log1p(sum(c for _, c, _ in hits))]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 60) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02, rounds: int = 60) -> np.ndarray:
     """Logistic regression by Newton steps; the intercept comes first and bears no penalty."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
@@ -140,7 +177,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 60) ->
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + np.diag(penalty), a.T @ (y - p) - penalty * w)
+        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p) + 1e-9)[:, None]) + np.diag(penalty), a.T @ (weight * (y - p)) - penalty * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -152,19 +189,48 @@ class Model:
         self.terms, self.ordinary, self.weights = terms, ordinary, weights
 
 
-def _measured(rows: DataFrame, terms: list[tuple[Term, float]]) -> tuple[list, frozenset[str]]:
-    """(toxic, features) of each training row, and what looks misspelt in clean rows: at most TRAIN_ROWS small rows."""
+def _misspelt(word: str) -> str:
+    at = len(word) // 2
+    return word[:at] + ("x" if word[at] != "x" else "z") + word[at + 1 :]
+
+
+def _settled(rows: DataFrame, terms: list[tuple[Term, float]]) -> tuple[list[tuple[Term, float]], frozenset[str]]:
+    """(terms, ordinary words): what looks misspelt in clean rows is an ordinary word, and a term with CROWDED of them
+    around it is taken to the letter. Words of at most TRAIN_ROWS rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher, seen = Matcher(terms), set()
         for batch in batches:
-            hits = [matcher.hits(t) for t in batch.column(1).to_pylist()]
-            features = [matcher.features(h) for h in hits]
-            fuzzy = [sorted({w for t, _, w in h if t < 0}) for h in hits]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, pa.list_(pa.float64())), pa.array(fuzzy, pa.list_(pa.string()))], names=["toxic", "x", "fuzzy"])
+            for t in batch.column(0).to_pylist():
+                seen |= {(-n, w) for n, _, w in matcher.hits(t) if n < 0}
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sorted(seen)], pa.int32()), pa.array([w for _, w in sorted(seen)], pa.string())], names=["n", "w"])
+
+    found = rows.where("toxic = 0").select("text").mapInArrow(run, "n int, w string").distinct().collect()
+    around = Counter(r.n for r in found)
+    return [(t._replace(exact=around[i] >= CROWDED), x) for i, (t, x) in enumerate(terms, 1)], frozenset(r.w for r in found)
 
-    got = rows.select("toxic", "text").mapInArrow(run, "toxic int, x array<double>, fuzzy array<string>").collect()
-    return [(r.toxic, r.x) for r in got], frozenset(w for r in got if r.toxic == 0 for w in r.fuzzy)
+
+def _measured(rows: DataFrame, terms: list[tuple[Term, float]], ordinary: frozenset[str]) -> list:
+    """(toxic, weight, features) of each training row, and of toxic rows with their terms misspelt: at most twice
+    TRAIN_ROWS small rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms, ordinary)
+        for batch in batches:
+            toxic, weight, features = [], [], []
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hits = matcher.hits(text)
+                toxic.append(y), weight.append(1.0), features.append(matcher.features(hits))
+                if y == 1 and any(n > 0 for n, _, _ in hits):
+                    low = text.lower()
+                    for w in sorted({w for n, _, w in hits if n > 0}):
+                        low = low.replace(w, _misspelt(w))
+                    hits = matcher.hits(low)
+                    if any(n < 0 for n, _, _ in hits):
+                        toxic.append(y), weight.append(MISSPELT_WEIGHT), features.append(matcher.features(hits))
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(weight, pa.float64()), pa.array(features, pa.list_(pa.float64()))], names=["toxic", "weight", "x"])
+
+    return [(r.toxic, r.weight, r.x) for r in rows.select("toxic", "text").mapInArrow(run, "toxic int, weight double, x array<double>").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
@@ -177,21 +243,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     terms = learn_lexicon(rows)
     measured = []
     for h in (0, 1):
-        measured += _measured(rows.where(f"half <> {h}"), learn_lexicon(rows.where(f"half = {h}")))[0]
-    ordinary = _measured(rows, terms)[1]
+        mine = rows.where(f"half = {h}")
+        measured += _measured(rows.where(f"half <> {h}"), *_settled(mine, learn_lexicon(mine)))
+    terms, ordinary = _settled(rows, terms)
     work.drop(rows)
-    x = np.array([f for _, f in measured]).reshape(-1, len(FEATURES))
-    y = np.array([float(t == 1) for t, _ in measured])
+    x = np.array([f for _, _, f in measured]).reshape(-1, len(FEATURES))
+    y = np.array([float(t == 1) for t, _, _ in measured])
+    weight = np.array([w for _, w, _ in measured])
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         return Model(terms, ordinary, [bias, *[0.0] * len(FEATURES)])
-    return Model(terms, ordinary, fit(x, y).tolist())
+    return Model(terms, ordinary, fit(x, y, weight).tolist())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1). Only the text counts; null texts are empty. Repeated rows are scored each, an empty
-    table gives no row, and a column score of docs gives way."""
+    """docs with score (0 to 1). Only the text counts; null texts are empty, texts of any length are read whole. Repeated
+    rows are scored each, an empty table gives no row, and a column score of docs gives way."""
     kept = [c for c in docs.columns if c != "score"]
     told = docs.sparkSession.sparkContext.broadcast(model)
 

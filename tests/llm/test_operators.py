@@ -257,13 +257,71 @@ def test_toxicity(spark, docs, labels, none):
     asked = spark.createDataFrame([(1, "you nitwlt and scoundral"), (2, 'he said "nitwit" is a word'), (3, None)], "doc_id bigint, text string")
     matcher = tox.Matcher(model.terms, model.ordinary)
     assert [h[0] < 0 for h in matcher.hits("you nitwlt and scoundral")] == [True, True]
-    assert [h[1] for h in matcher.hits('he said "nitwit" is a word')] == [True] and [h[1] for h in matcher.hits("you nitwit")] == [False]
+    assert [h[1] for h in matcher.hits('he said "nitwit" is a word')] == [1.0] and [h[1] for h in matcher.hits("you nitwit")] == [0.0]
     assert all(0 <= r.score <= 1 for r in tox.score(asked, model).collect())
+    # misspelling is seen through and quotation is told from abuse: each turns the decision
+    around = " ".join(plain[:36])
+    cases = {"plain": "you {} and {} " + around, "misspelt": "you {} and {} " + around, "quoted": 'he said "{}" and she wrote "{}" ' + around}
+    words = {"plain": ("nitwit", "scoundrel"), "misspelt": ("nitwlt", "scoundral"), "quoted": ("nitwit", "scoundrel")}
+    rows = [(i, cases[k].format(*words[k])) for i, k in enumerate(cases)] + [(3, "you and " + around)]
+    got = [r.predicted for r in tox.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).withColumn("predicted", F.col("score") >= tox.THRESHOLD).orderBy("doc_id").collect()]
+    assert got == [True, True, False, False]
     scored = tox.score(docs, tox.train(docs, labels))
     assert scored.count() == docs.count() and scored.where("score is null").count() == 0
     assert tox.score(none, tox.train(none, labels)).count() == 0
 
 
+def test_scores_by_plain_loops(spark):
+    """Hits by the distance to every term, contexts word by word, and the logistic of their features."""
+    from karst.llm import toxicity as tox
+
+    terms = [(tox.Term("nitwit", True), 2.0), (tox.Term("scoundrel", False), 3.0), (tox.Term("ape", True), 1.5)]
+    weights = [-3.0, 1.0, 0.5, 0.7, 0.9, 0.4, -0.2]
+    texts = ["", "no such thing", "you nitwit", 'they said "you utter nitwit" today', "Nitwlt scoundrelly xcoundrel ape apes", '"nitwit', 'she wrote of a nitwit" and an ape', "«nitwit» " + "a " * 20 + "nitwit said nitwit ordinarx", "nit wit " * 10 + "scoundrel ape nitwit nitwit"]
+    ordinary = frozenset(["ordinarx", "xcoundrel"])
+
+    def features(text):
+        low = text.lower()
+        tokens = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\W_](?:[\w*@$]*[^\W_])?", low)]
+        plain, fuzzy = [], []
+        for i, (w, start, end) in enumerate(tokens):
+            options = []
+            for n, (t, strength) in enumerate(terms):
+                far = min(lev(w[:m], t.text) for m in ([len(w)] if t.whole else range(len(w) + 1)))
+                if far <= t.edits:
+                    options.append((far, n))
+            if not options or (min(options)[0] and w in ordinary):
+                continue
+            far, n = min(options)
+            near = tokens[max(0, i - 8) : i + 9]
+            between = lambda at: sum(min(at, start) <= s < max(at, start) and s != start for _, s, _ in tokens)
+            lo, hi = near[0][1], near[-1][2] if i + 8 < len(tokens) else len(low)
+            opens, closes = [m.start() for m in re.finditer(r"(?:^|(?<=\s))[\"“«„‘]|[“«„]", low[:start]) if m.start() >= lo - 1], [m.start() for m in re.finditer(r"[\"”»’](?=\s|[.,;:!?]|$)|[”»]", low) if end <= m.start() <= hi]
+            shut = [m.start() for m in re.finditer(r"[\"”»’](?=\s|[.,;:!?]|$)|[”»]", low[:start]) if m.start() >= lo - 1]
+            opened = 1 - between(max(opens)) / 9 if opens and max(opens) > max(shut, default=-1) else 0.0
+            closed = 1 - between(min(closes)) / 9 if closes else 0.0
+            report = max((1 - (abs(j - i) - 1) / 9 for j in range(max(0, i - 8), min(len(tokens), i + 9)) if tokens[j][0] in tox.REPORTS), default=0.0)
+            c = 1 - (1 - opened * closed) * (1 - report * max(opened, closed))
+            (fuzzy if far else plain).append((n, c))
+        live = lambda hits: [1 - c for _, c in hits]
+        strength = sum(terms[n][1] * max(1 - c for m, c in plain if m == n) for n in {n for n, _ in plain})
+        return [max(live(plain), default=0.0), strength**0.5, math.log1p(sum(live(plain))), max(live(fuzzy), default=0.0), math.log1p(sum(live(fuzzy))), math.log1p(sum(c for _, c in plain + fuzzy))]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in tox.score(df, tox.Model(terms, ordinary, weights)).collect()}
+    for i, text in enumerate(texts):
+        z = weights[0] + sum(a * b for a, b in zip(weights[1:], features(text)))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z))), text
+
+
+def test_lexicon_needs_significance():
+    """Forms in a few toxic documents that chance explains are no terms; those it doesn't explain are."""
+    from karst.llm import toxicity as tox
+
+    assert not tox.significant(3, 0, 0.1, 1000) and tox.significant(8, 0, 0.1, 1000)
+    assert not tox.significant(8, 40, 0.1, 1000) and tox.significant(60, 2, 0.1, 1000)
+
+
 def test_vectors(spark):
     from karst.llm.vector_dups import near_duplicate_vectors
 
@@ -509,6 +567,12 @@ def test_main_text(html, wanted):
         ('<div class="with-ads"><p>A long paragraph of text that is the page.</p><div class="ads"><a>buy</a></div></div>', "A long paragraph of text that is the page."),
         ('<main><p>Short.</p><div class="legal-text"><p>A long paragraph of text that is most of the page.</p></div></main>', "Short.\nA long paragraph of text that is most of the page."),
         ('<article><p>Short text.</p><div class="comments"><article>A long comment, longer than all of the article.</article></div></article>', "Short text."),
+        ('<div class="no-sidebar"><article><p>The article itself.</p></article></div>', "The article itself."),
+        ("<html><head><title>t</title><meta charset=utf-8><body><article><p>No end of the head.</p></article>", "No end of the head."),
+        ('<form action="/"><nav>menu</nav><article><p>A page that is a form.</p></article><input></form>', "A page that is a form."),
+        ('<article><div class="article-header"><h1>Headline</h1></div><p>The article itself.</p></article>', "Headline\nThe article itself."),
+        ("<article><p>where a<b then c</p><p>more</p></article>", "where a<b then c\nmore"),
+        ("<article><p>" + "<b>x " * 3000 + "</article>", " ".join("x" * 3000)),
         ('<article><p>The article itself.</p></article><div class="related"><article>Another one</article></div>', "The article itself."),
     ],
 )
@@ -518,6 +582,39 @@ def test_main_text_in_marked_wrappers(html, wanted):
     assert main_text(html) == wanted
 
 
+def test_clusters_decide_what_is_a_menu(monkeypatch):
+    """A run of links in an article goes, a link between paragraphs stays; without the smoothed ratios it wouldn't."""
+    from karst.llm import extraction
+
+    menu = "".join(f"<li><a href=/{i}>Topic {i}</a></li>" for i in range(8))
+    html = f'<article><p>First paragraph of the article.</p><p><a href=/x>Only a link</a></p><p>Second paragraph of it.</p><p>Third one.</p><ul>{menu}</ul></article>'
+    wanted = "First paragraph of the article.\nOnly a link\nSecond paragraph of it.\nThird one."
+    assert extraction.main_text(html) == wanted
+    monkeypatch.setattr(extraction, "smooth", lambda values, *_: [1e9] * len(values))
+    assert extraction.main_text(html) != wanted
+    monkeypatch.setattr(extraction, "smooth", lambda values, *_: list(values))
+    assert "Only a link" not in extraction.main_text(html)
+
+
+def test_ratios_smoothing_and_clusters_by_plain_loops():
+    """Pages without article or main elements, against ratio, smoothing and clustering written out."""
+    from karst.llm import extraction
+
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        lines = [" ".join(["word"] * int(rng.integers(1, 60))) if rng.random() < 0.5 else "go" for _ in range(int(rng.integers(3, 25)))]
+        tags = [int(rng.integers(0, 5)) for _ in lines]
+        html = "".join(f"<p>{'<i></i>' * t}{x}</p>" for x, t in zip(lines, tags))
+        ratio = [len(x) / (2 + 2 * t) for x, t in zip(lines, tags)]
+        smoothed = []
+        for i in range(len(ratio)):
+            w = {j: math.exp(-((i - j) ** 2) / 2) for j in range(max(0, i - 2), min(len(ratio), i + 3))}
+            smoothed.append(sum(ratio[j] * v for j, v in w.items()) / sum(w.values()))
+        cut = min(np.mean(smoothed), np.std(smoothed))
+        chosen = [i for i, r in enumerate(smoothed) if r >= cut - 1e-9]
+        assert extraction.main_text(html) == "\n".join(lines[chosen[0] : chosen[-1] + 1])
+
+
 def test_extraction(spark):
     from karst.llm.extraction import extract, smooth
 
