@@ -16,7 +16,7 @@ from karst.functions import chem
 from karst.functions.text import fixed_windows, recursive_chunks, tokens
 from karst.operators.fetch import Roles, drop_missing, get_molecules_activity, get_molecules_activity_with_filters, keep_first
 from karst.operators.queryset import QuerySet
-from karst.operators.retrieval import context, set_similarity, top_k_l2, top_k_terms
+from karst.operators.search import alike_of, nearest_of, similar_of
 from karst.plans.catalog import SCHEMAS, Catalog, Entity
 from karst.plans.compiler import compile_plan
 from karst.plans.planner import parse_plan, validate
@@ -280,64 +280,94 @@ def _(spark, d):
     return recursive_chunks(QuerySet(catalog(spark, d), "documents").df.select("doc_id", "text")).select("doc_id", "chunk_ix", "chunk")
 
 
+@query("chunk_recursive_bounds", "SELECT doc_id, true AS short_enough, true AS in_text, true AS all_words FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\v]')")
+def _(spark, d):
+    """What must hold of recursive chunks whatever the text: none is too long, each is a stretch of the text, and no
+    word of a document is lost. A word longer than a chunk may be cut."""
+    docs = QuerySet(catalog(spark, d), "documents").df.select("doc_id", "text")
+    chunks = recursive_chunks(docs)
+    of = chunks.groupBy("doc_id").agg(F.max(F.char_length("chunk")).alias("most"), F.min(F.contains("text", "chunk").cast("int")).alias("inside"), F.array_distinct(F.flatten(F.collect_list(F.split("chunk", r"\s+")))).alias("have"), F.first("text").alias("text"))
+    words = F.filter(F.split("text", r"\s+"), lambda w: (w != "") & (F.char_length(w) < 1000))
+    return of.select("doc_id", (F.col("most") <= 1000).alias("short_enough"), (F.col("inside") == 1).alias("in_text"), (F.size(F.array_except(words, "have")) == 0).alias("all_words"))
+
+
+#: The questions of a search are all rows whose id is divisible by this.
+EACH = 100
+
+
 @query(
     "vector_topk_l2",
-    "SELECT e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance "
-    "FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, e.vec_id LIMIT 5",
+    "SELECT q.vec_id AS query_id, e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 9) AS distance "
+    f"FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % {EACH} = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, e.vec_id) <= 5",
 )
 def _(spark, d):
-    vectors = QuerySet(catalog(spark, d), "embeddings")
-    return top_k_l2(vectors.df, vectors.get(0)["embedding"]).select("vec_id", "distance")
+    vectors = QuerySet(catalog(spark, d), "embeddings").df
+    return nearest_of(vectors, vectors.where(f"vec_id % {EACH} = 0")).withColumn("distance", F.round("distance", 9))
 
 
 _TERMS = """
 WITH t AS (SELECT {key} AS id, unnest(regexp_split_to_array(lower({text}), '[^a-z0-9]+')) AS w FROM {table}),
 f AS (SELECT id, w, count(*) AS n FROM t WHERE w <> '' GROUP BY id, w),
-q AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM benchmark WHERE item_id = 0) WHERE w <> '' GROUP BY w),
-s AS (SELECT id, sum(n * n)::BIGINT AS sq FROM f GROUP BY id), x AS (SELECT id, sum(f.n * q.n)::BIGINT AS dot FROM f JOIN q ON f.w = q.w GROUP BY id)
+q AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM benchmark WHERE item_id % {each} = 0) WHERE w <> '' GROUP BY item_id, w),
+o AS (SELECT item_id, sum(n * n) AS own FROM q GROUP BY item_id), s AS (SELECT id, sum(n * n)::BIGINT AS sq FROM f GROUP BY id),
+x AS (SELECT item_id, id, sum(f.n * q.n)::BIGINT AS dot FROM f JOIN q ON f.w = q.w GROUP BY item_id, id),
+top AS (SELECT item_id, id, dot / sqrt(sq * own) AS score FROM x JOIN s USING (id) JOIN o USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY dot / sqrt(sq * own) DESC, id) <= 5)
 """
-_SCORE = "dot / sqrt(sq * (SELECT sum(n * n) FROM q))"
 
 
-@query("text_topk_cosine", _TERMS.format(key="doc_id", text="text", table="documents") + f"SELECT id AS doc_id, round({_SCORE}, 9) AS score FROM x JOIN s USING (id) ORDER BY {_SCORE} DESC, id LIMIT 5")
+def _asked(c: Catalog) -> DataFrame:
+    return QuerySet(c, "benchmark").df.where(f"item_id % {EACH} = 0")
+
+
+@query("text_topk_cosine", _TERMS.format(key="doc_id", text="text", table="documents", each=EACH) + "SELECT item_id, id AS doc_id, round(score, 9) AS score FROM top")
 def _(spark, d):
     c = catalog(spark, d)
-    found = top_k_terms(QuerySet(c, "documents").df, QuerySet(c, "benchmark").get(0)["text"])
-    return found.select("doc_id", F.round("score", 9).alias("score"))
+    found = alike_of(QuerySet(c, "documents").df, _asked(c))
+    return found.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 9).alias("score"))
 
 
 @query(
     "retrieve_context",
-    f"WITH c AS ({_WINDOWS}), k AS (SELECT *, doc_id * 100000 + chunk_ix AS key FROM c), " + _TERMS.format(key="key", text="chunk", table="k").strip().removeprefix("WITH ")
-    + f", top AS (SELECT id, {_SCORE} AS score FROM x JOIN s USING (id) ORDER BY score DESC, id LIMIT 5) SELECT string_agg(chunk, chr(10) || chr(10) ORDER BY score DESC, id) AS content FROM top JOIN k ON k.key = top.id",
+    f"WITH c AS ({_WINDOWS}), k AS (SELECT *, struct_pack(d := doc_id, c := chunk_ix) AS key FROM c), " + _TERMS.format(key="key", text="chunk", table="k", each=EACH).strip().removeprefix("WITH ")
+    + " SELECT item_id, string_agg(chunk, chr(10) || chr(10) ORDER BY score DESC, id) AS content FROM top JOIN k ON k.key = top.id GROUP BY item_id",
 )
 def _(spark, d):
     c = catalog(spark, d)
-    chunks = fixed_windows(QuerySet(c, "documents").df.select("doc_id", "text")).withColumn("key", F.col("doc_id") * 100000 + F.col("chunk_ix"))
-    found = top_k_terms(chunks, QuerySet(c, "benchmark").get(0)["text"], text="chunk", key="key")
-    return context(found, [-F.col("score"), "key"])
+    chunks = fixed_windows(QuerySet(c, "documents").df.select("doc_id", "text")).select("doc_id", "chunk_ix", "chunk")
+    questions = _asked(c).withColumnRenamed("text", "chunk")
+    found = alike_of(chunks, questions, text="chunk", keys=("doc_id", "chunk_ix")).join(chunks, ["doc_id", "chunk_ix"])
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id", "chunk_ix", "chunk")))  # five chunks
+    return found.groupBy(F.col("query_id").alias("item_id")).agg(F.array_join(F.transform(ranked, lambda x: x["chunk"]), "\n\n").alias("content"))
 
 
 _SETS = "SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS s FROM documents"
-_ALIKE = f"WITH d AS ({_SETS}) SELECT d.doc_id FROM d, (SELECT s AS q FROM d WHERE doc_id = {{key}}) WHERE len(list_distinct(list_concat(s, q))) > 0 AND 100 * len(list_intersect(s, q)) >= {{percent}} * len(list_distinct(list_concat(s, q)))"
+_ALIKE = "SELECT q.{key} AS query_id, d.{key} FROM d, (SELECT {key}, s FROM d WHERE {key} % {each} = 0) q WHERE len(list_intersect(d.s, q.s)) > 0 AND 100 * len(list_intersect(d.s, q.s)) >= {percent} * (len(d.s) + len(q.s) - len(list_intersect(d.s, q.s)))"
+
+
+def _similar(spark, d, percent):
+    sets = QuerySet(catalog(spark, d), "documents").df.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("items"))
+    return similar_of(sets, sets.where(f"doc_id % {EACH} = 0"), percent).select("query_id", "doc_id")
 
 
-def _sets(spark, d):
-    return QuerySet(catalog(spark, d), "documents").df.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("items"))
+@query("set_similarity_threshold", f"WITH d AS ({_SETS}) " + _ALIKE.format(key="doc_id", each=EACH, percent=20))
+def _(spark, d):
+    return _similar(spark, d, 20)
 
 
-@query("set_similarity_threshold", _ALIKE.format(key=1, percent=20))
+@query("set_similarity_by_id", f"WITH d AS ({_SETS}) " + _ALIKE.format(key="doc_id", each=EACH, percent=70))
 def _(spark, d):
-    sets = _sets(spark, d)
-    row = sets.where("doc_id = 1").first()
-    return set_similarity(sets, row["items"] if row else [], 20).select("doc_id")
+    return _similar(spark, d, 70)
+
+
+_BITS = "SELECT vec_id, list_filter(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN i END), lambda x: x IS NOT NULL) AS s FROM embeddings"
 
 
-@query("set_similarity_by_id", _ALIKE.format(key=1, percent=70))
+@query("similarity_fingerprints", f"WITH d AS ({_BITS}) " + _ALIKE.format(key="vec_id", each=EACH, percent=50))
 def _(spark, d):
-    sets = _sets(spark, d)
-    row = sets.where("doc_id = 1").first()
-    return set_similarity(sets, row["items"] if row else []).select("doc_id")
+    """Signs of a vector's components as a fingerprint's bits."""
+    bits = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i + 1)), lambda x: x.isNotNull())
+    prints = QuerySet(catalog(spark, d), "embeddings").df.select("vec_id", bits.alias("items"))
+    return similar_of(prints, prints.where(f"vec_id % {EACH} = 0"), 50, key="vec_id").select("query_id", "vec_id")
 
 
 # Structures that the documentation uses as examples.
