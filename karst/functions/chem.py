@@ -82,3 +82,9 @@ def tanimoto(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     either = F.size(F.array_union(a, b))
     return F.when(either > 0, both / either)
+
+
+def first_of_json(text: Column, element: str) -> Column:
+    """The first element of a JSON list that a tool returned, by the element's DDL; null if there is none or the text
+    is no such list."""
+    return F.get(F.from_json(text, f"array<{element}>"), F.lit(0))

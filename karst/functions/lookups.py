@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +57,19 @@ def _text(value: Any) -> str:
     return str(value)
 
 
+def _pattern(v: str) -> str:
+    """The pattern, if Java takes it: a bad one is told before anything runs."""
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        try:
+            session._jvm.java.util.regex.Pattern.compile(v)
+        except IllegalArgumentException as e:
+            raise LookupError_(f"{v!r} is no pattern: {e}") from e
+    return v
+
+
 def _exact(c: Column, v: Any, k: T.DataType) -> Column:
     return c.isNull() if v is None else c == _one(v, k)
 
@@ -101,8 +115,8 @@ LOOKUPS: dict[str, Callable[[Column, Any, T.DataType], Column]] = {
     "iendswith": _lowered(lambda c, v: c.endswith(v)),
     "range": _range,
     "isnull": _isnull,
-    "regex": _plain(lambda c, v: c.rlike(v)),
-    "iregex": _plain(lambda c, v: c.rlike(f"(?i){v}")),
+    "regex": _plain(lambda c, v: c.rlike(_pattern(v))),
+    "iregex": _plain(lambda c, v: c.rlike(f"(?i){_pattern(v)}")),
 }
 #: Needs a chemistry toolkit: compares the connectivity keys of two structures.
 CHEMICAL = "connectivity"

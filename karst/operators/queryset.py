@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from karst.operators.retrieval import set_similarity
 from karst.plans.catalog import Catalog
 from karst.plans.compiler import PlanError, condition, ordering, roots, split_key
 
@@ -29,8 +30,10 @@ class QuerySet:
     def filter(self, **filters: Any) -> QuerySet:
         """Rows for which all lookups hold. A DataFrame or QuerySet of one column as the value of `in` is a semi
         join: its values never come to the driver."""
+        if self._entity.fingerprint and "similarity" in filters:
+            return self._similar(**filters)
         plain = {k: v for k, v in filters.items() if not isinstance(v, (DataFrame, QuerySet))}
-        df = self._df.where(condition(self._df, plain, self._entity.aliases)) if plain else self._df
+        df = self._df.where(condition(self._df, plain, self._entity.aliases, self._catalog.toolkit)) if plain else self._df
         for k, v in filters.items():
             if k not in plain:
                 path, lookup = split_key(k, df.schema, self._entity.aliases)
@@ -41,6 +44,27 @@ class QuerySet:
                 df = df.join(keys, F.col(".".join(f"`{p}`" for p in path)) == F.col("key_"), "left_semi")
         return self._next(df=df)
 
+    def _similar(self, similarity: float, smiles: str | None = None, **more: Any) -> QuerySet:
+        """Rows at least `similarity` hundredths like a structure, given as text or by the id of a row, most alike
+        first; similarity in hundredths is added. Other filters hold for the rows found."""
+        key, bits = self._entity.key[0], self._entity.fingerprint
+        named = next((more.pop(k) for k in (*self._entity.aliases, key) if k in more), None)
+        if (smiles is None) == (named is None):
+            raise PlanError("similarity needs a structure or an id")
+        try:
+            percent = int(similarity)
+        except (TypeError, ValueError) as e:
+            raise PlanError("similarity is a whole number of hundredths") from e
+        if smiles is not None:
+            if self._catalog.toolkit is None:
+                raise PlanError("similarity to a structure needs a chemistry toolkit; see karst.functions.chem")
+            asked = self._catalog.toolkit.fingerprint(smiles)
+        else:
+            row = self._entity.read(self._catalog.spark).where(F.col(key) == F.lit(named)).select(bits).first()
+            asked = row[0] if row and row[0] is not None else []
+        found = set_similarity(self._df, asked, percent, bits).withColumn("similarity", F.col("similarity") * 100).drop(bits)
+        return self._next(df=found, sort=("-similarity",)).filter(**more) if more else self._next(df=found, sort=("-similarity",))
+
     def only(self, fields: str | list[str] | tuple[str, ...]) -> QuerySet:
         return self._next(fields=tuple(roots(fields, self._df, self._entity.aliases)))
 

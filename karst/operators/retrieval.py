@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,38 +30,34 @@ class Chunker(Protocol):
 
 
 class HashedTerms:
-    """Offline default: counts of terms in hash buckets, scaled to unit length. All of it is built-in functions."""
+    """Offline default: counts of terms in hash buckets, scaled to unit length. A text costs its own terms, in Arrow batches."""
 
     def __init__(self, buckets: int = 256):
         self.buckets = buckets
 
     def embed(self, text: Column) -> Column:
-        words = F.transform(tokens(text), lambda w: F.pmod(F.crc32(F.encode(w, "utf-8")), F.lit(self.buckets)).cast("int"))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(self.buckets - 1)), lambda i: F.size(F.filter(words, lambda w: w == i)).cast("double"))
-        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+        def rows(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: self.embed_query(t or ""))
 
-    def embed_query(self, text: str) -> list[float]:
-        import re
-        import zlib
+        return F.pandas_udf(rows, "array<double>")(text)
 
-        counts = [0.0] * self.buckets
-        for w in re.findall("[a-z0-9]+", text.lower()):
-            counts[zlib.crc32(w.encode()) % self.buckets] += 1
-        length = sum(x * x for x in counts) ** 0.5
-        return [x / length if length else 0.0 for x in counts]
+    def embed_query(self, text: str) -> list[float]:
+        places = [zlib.crc32(w.encode()) % self.buckets for w in re.findall("[a-z0-9]+", text.lower())]
+        counts = np.bincount(np.array(places, dtype=int), minlength=self.buckets).astype(float)
+        length = float(np.sqrt(counts @ counts))
+        return (counts / length if length else counts).tolist()
 
 
 def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
 
 
-def top_k_l2(vectors: DataFrame, query: Sequence[float], k: int = TOP_K, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k rows nearest to the query, nearest first, ties by key; a column distance is added. Each task keeps its
+def top_k_l2(vectors: DataFrame, query: Sequence[float], k: int = TOP_K, vector: str = "embedding", key: str | Sequence[str] = "vec_id") -> DataFrame:
+    """The k rows nearest to the query, nearest first, ties by key (one column or several); a column distance is added. Each task keeps its
     own k best, so k rows a task travel. Rows without a vector, or with one of another length, are left out."""
     asked = F.array(*[F.lit(float(x)) for x in query])
     rows = vectors.where(F.col(vector).isNotNull() & (F.size(vector) == len(query)))
-    return rows.withColumn("distance", squared_l2(F.col(vector), asked)).orderBy("distance", key).limit(k)
+    return rows.withColumn("distance", squared_l2(F.col(vector), asked)).orderBy("distance", *([key] if isinstance(key, str) else key)).limit(k)
 
 
 def top_k_terms(df: DataFrame, query: str, k: int = TOP_K, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -65,7 +65,6 @@ def top_k_terms(df: DataFrame, query: str, k: int = TOP_K, text: str = "text", k
 
     Sums are whole numbers up to the last division. Each row is judged by itself: nothing is shuffled but the tops.
     """
-    import re
     from collections import Counter
 
     asked = Counter(re.findall("[a-z0-9]+", query.lower()))
@@ -87,10 +86,12 @@ def context(ranked: DataFrame, rank: Sequence[Column | str], chunk: str = "chunk
 def set_similarity(df: DataFrame, to: Sequence, percent: int = 70, items: str = "items") -> DataFrame:
     """Rows whose set shares at least `percent` hundredths of the union with the given one, itself included; adds
     similarity. Compared in whole numbers. Empty unions are alike to nothing."""
-    asked = F.array(*[F.lit(x) for x in to])
+    asked = F.array(*[F.lit(x) for x in to]) if to else F.array().cast(df.schema[items].dataType)
+    own, others = F.array_distinct(items), len(set(to))
+    df = df.withColumn("own_", F.size(own)).where(F.col("own_") * 100 >= int(percent) * others).where(F.col("own_") * int(percent) <= 100 * others)  # sizes alone tell most rows apart
     both = F.size(F.array_intersect(items, asked))
-    either = F.size(F.array_union(items, asked))
-    return df.withColumn("both_", both).withColumn("either_", either).where(f"either_ > 0 and 100 * both_ >= {int(percent)} * either_").withColumn("similarity", F.col("both_") / F.col("either_")).drop("both_", "either_")
+    df = df.withColumn("both_", both).withColumn("either_", F.col("own_") + others - F.col("both_")).drop("own_")
+    return df.where(f"either_ > 0 and 100 * both_ >= {int(percent)} * either_").withColumn("similarity", F.col("both_") / F.col("either_")).drop("both_", "either_")
 
 
 @dataclass
@@ -127,6 +128,6 @@ class RetrievalSystem:
             raise ValueError("process_documents() has not run: there are no vectors to search.")
         keys = [c for c in ("doc_id", "path", "chunk_ix") if c in self.index.columns]
         asked = list(self.embedder.embed_query(text))
-        found = top_k_l2(self.index, asked, top_k, key="chunk_ix" if "chunk_ix" in keys else keys[0])
+        found = top_k_l2(self.index, asked, top_k, key=keys)
         content = context(found, ["distance", *keys]).first()["content"]
         return Retrieved(text, found, content)

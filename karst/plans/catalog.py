@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from karst.functions.chem import ChemToolkit
+from karst.sources.envelope import RESULT_KEYS
+
 
 @dataclass(frozen=True)
 class Entity:
@@ -18,14 +21,20 @@ class Entity:
     key: tuple[str, ...]
     plural: str = ""
     aliases: Mapping[str, str] = field(default_factory=dict)
+    #: Column of fingerprint bits, if rows are asked for by similarity.
+    fingerprint: str = ""
 
 
 class Catalog(dict[str, Entity]):
     """name -> Entity"""
 
-    def __init__(self, spark: SparkSession, entities: list[Entity]):
+    def __init__(self, spark: SparkSession, entities: list[Entity], toolkit: ChemToolkit | None = None):
         super().__init__({e.name: e for e in entities})
-        self.spark = spark
+        self.spark, self.toolkit = spark, toolkit
+
+    def result_keys(self) -> tuple[str, ...]:
+        """Keys under which responses hold rows: the fixed ones first, then the plurals of all other entities."""
+        return tuple(dict.fromkeys([*RESULT_KEYS, *(self[n].plural for n in self.names() if self[n].plural)]))
 
     def names(self) -> list[str]:
         """Public names in order; those that begin with an underscore aren't listed."""
@@ -48,24 +57,19 @@ SCHEMAS = {
     "similarity": "molecule_chembl_id STRING, pref_name STRING, fingerprint ARRAY<INT>",
 }
 PLURALS = {"activity": "activities", "molecule": "molecules", "target": "targets", "assay": "assays", "compound": "compounds"}
-ALIASES = {"molecule": {"chembl_id": "molecule_chembl_id"}}
+ALIASES = {"molecule": {"chembl_id": "molecule_chembl_id"}, "similarity": {"chembl_id": "molecule_chembl_id"}, "image": {"chembl_id": "molecule_chembl_id"}}
 
 
 def schema_of(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])
 
 
-def domain_catalog(spark: SparkSession, folder: str) -> Catalog:
+def domain_catalog(spark: SparkSession, folder: str, toolkit: ChemToolkit | None = None) -> Catalog:
     """The domain's entities over parquet tables of the same names in a folder, read with the schemas above."""
 
     def entity(name: str) -> Entity:
         schema = schema_of(name)
         key = tuple(f.name for f in schema if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.BinaryType)))
-        return Entity(name, lambda s: s.read.schema(schema).parquet(f"{folder}/{name}.parquet"), key, PLURALS.get(name, f"{name}s"), ALIASES.get(name, {}))
-
-    return Catalog(spark, [entity(n) for n in SCHEMAS])
-
+        return Entity(name, lambda s: s.read.schema(schema).parquet(f"{folder}/{name}.parquet"), key, PLURALS.get(name, f"{name}s"), ALIASES.get(name, {}), "fingerprint" if "fingerprint" in schema.names else "")
 
-def table_catalog(spark: SparkSession, folder: str, keys: Mapping[str, tuple[str, ...]]) -> Catalog:
-    """Plain tables of a folder as entities."""
-    return Catalog(spark, [Entity(n, lambda s, n=n: s.read.parquet(f"{folder}/{n}.parquet"), k, f"{n}s") for n, k in keys.items()])
+    return Catalog(spark, [entity(n) for n in SCHEMAS], toolkit)

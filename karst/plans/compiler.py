@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from karst.functions import chem
 from karst.functions.lookups import CHEMICAL, LOOKUPS, LookupError_
 from karst.plans.catalog import Catalog
 
@@ -42,15 +43,16 @@ def split_key(key: str, schema: T.StructType, aliases: Mapping[str, str]) -> tup
     return path, "exact"
 
 
-def condition(df: DataFrame, filters: Mapping[str, Any], aliases: Mapping[str, str] | None = None) -> Column:
+def condition(df: DataFrame, filters: Mapping[str, Any], aliases: Mapping[str, str] | None = None, toolkit: chem.ChemToolkit | None = None) -> Column:
     """All filters of one call, joined by AND. Conditions on one to-many field hold for the same element; those of
-    separate calls may hold for different elements."""
+    separate calls may hold for different elements. connectivity needs a chemistry toolkit."""
     singles: list[Column] = []
     of_array: dict[tuple[str, ...], list[tuple[list[str], T.DataType, str, Any]]] = {}
     for key, value in filters.items():
         path, lookup = split_key(key, df.schema, aliases or {})
         if lookup == CHEMICAL:
-            raise PlanError("connectivity needs a chemistry toolkit; see karst.functions.chem")
+            singles.append(_connected(df, path, value, toolkit))
+            continue
         level: T.DataType = df.schema
         array: tuple[str, ...] = ()
         for i, part in enumerate(path):
@@ -75,6 +77,18 @@ def condition(df: DataFrame, filters: Mapping[str, Any], aliases: Mapping[str, s
     return reduce(lambda a, b: a & b, singles) if singles else F.lit(True)
 
 
+def _connected(df: DataFrame, path: list[str], value: Any, toolkit: chem.ChemToolkit | None) -> Column:
+    """Structures with the connectivity key of the given one; null structures have none."""
+    if toolkit is None:
+        raise PlanError("connectivity needs a chemistry toolkit; see karst.functions.chem")
+    level: T.DataType = df.schema
+    for part in path:
+        level = level[part].dataType if isinstance(level, T.StructType) else level
+    if not isinstance(level, T.StringType) or not isinstance(value, str):
+        raise PlanError("connectivity compares structures, which are text")
+    return chem.apply(toolkit, "connectivity_key", F.col(".".join(f"`{p}`" for p in path))) == F.lit(toolkit.connectivity_key(value))
+
+
 def _of_element(tests: list[tuple[list[str], T.DataType, str, Any]]) -> Callable[[Column], Column]:
     """All tests on one element of an array."""
 

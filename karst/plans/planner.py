@@ -44,7 +44,10 @@ def validate(catalog: Catalog, plan: Any) -> dict[str, Any]:
         return {"error": f"Unknown resource: {resource}"}
     entity = catalog[resource]
     try:
-        condition(entity.read(catalog.spark), {k: v for k, v in plan.items() if k not in CONTROLS}, entity.aliases)
+        filters = {k: v for k, v in plan.items() if k not in CONTROLS}
+        if entity.fingerprint and "similarity" in filters:  # what it asks about isn't a field
+            filters = {k: v for k, v in filters.items() if k not in ("similarity", "smiles", *entity.aliases, entity.key[0])}
+        condition(entity.read(catalog.spark), filters, entity.aliases, catalog.toolkit)
     except PlanError as e:
         return {"error": str(e)}
     return dict(plan)

@@ -17,7 +17,7 @@ from karst.functions.text import fixed_windows, recursive_chunks, tokens
 from karst.operators.fetch import Roles, drop_missing, get_molecules_activity, get_molecules_activity_with_filters, keep_first
 from karst.operators.queryset import QuerySet
 from karst.operators.search import alike_of, nearest_of, similar_of
-from karst.plans.catalog import SCHEMAS, Catalog, Entity
+from karst.plans.catalog import SCHEMAS, Catalog, Entity, domain_catalog
 from karst.plans.compiler import compile_plan
 from karst.plans.planner import parse_plan, validate
 from karst.sources.envelope import records, result_key
@@ -240,6 +240,21 @@ def _(spark, d):
     return records(spark.createDataFrame([(x,) for x in _ENVELOPES], "json string"), "json", "id int")
 
 
+@query("envelope_catalog_keys", "SELECT * FROM (VALUES ('tissues', 1), ('drug_indications', 2), ('activities', 3)) t(result_key, id)")
+def _(spark, d):
+    texts = ['{"page_meta": {}, "tissues": [{"id": 1}]}', '{"drug_indications": [{"id": 2}]}', '{"tissues": [{"id": 9}], "activities": [{"id": 3}]}', '{"others": []}']
+    return records(spark.createDataFrame([(x,) for x in texts], "json string"), "json", "id int", domain_catalog(spark, d).result_keys())
+
+
+_PARENTS = ['[{"molecule": "a", "n": 1}, {"molecule": "b"}]', "[]", "no list", None]
+
+
+@query("json_first_element", "SELECT * FROM (VALUES (0, 'a'), (1, NULL), (2, NULL), (3, NULL)) t(i, molecule)")
+def _(spark, d):
+    rows = spark.createDataFrame(list(enumerate(_PARENTS)), "i int, json string")
+    return rows.select("i", chem.first_of_json(F.col("json"), "struct<molecule: string>")["molecule"].alias("molecule"))
+
+
 @query("catalog_list", "SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted([*KEYS, "event", "talk", "labelled"])) + ") t(name)")
 def _(spark, d):
     return spark.createDataFrame([(n,) for n in catalog(spark, d).names()], "name string")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Keys of result lists, in the order in which the first present one wins.
 RESULT_KEYS = ("activities", "molecules", "targets", "assays", "compounds")
-NO_LIST = "No recognized result list found in response."
 
 
 def result_key(json: Column, keys: tuple[str, ...] = RESULT_KEYS) -> Column:

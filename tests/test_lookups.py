@@ -89,6 +89,7 @@ def plan_of(df):
 
 
 def test_what_reaches_the_scan(spark, tables):
+    from karst.operators.retrieval import top_k_l2
     from karst.registry import QUERIES, catalog
 
     c = catalog(spark, tables)
@@ -96,7 +97,8 @@ def test_what_reaches_the_scan(spark, tables):
     assert "StringStartsWith(p_name,red)" in plan_of(QuerySet(c, "part").filter(p_name__startswith="red").df)
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string>" in plan_of(QuerySet(c, "part").filter(p_name__icontains="x").only(["p_partkey", "p_name"]).df)
     assert "LeftSemi" in plan_of(QUERIES["semi_join_in_list"](spark, tables))
-    assert "TakeOrderedAndProject" in plan_of(QUERIES["vector_topk_l2"](spark, tables))
+    assert "TakeOrderedAndProject" in plan_of(top_k_l2(QuerySet(c, "embeddings").df, [0.0] * 64))
+    assert "WindowGroupLimit" in plan_of(QUERIES["vector_topk_l2"](spark, tables))
     assert "CartesianProduct" not in plan_of(QUERIES["text_topk_cosine"](spark, tables))
 
 
