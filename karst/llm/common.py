@@ -48,6 +48,11 @@ class Workspace:
         out._karst_path = path
         return out
 
+    def remove(self) -> None:
+        """Delete all tables: for callers whose result has been written elsewhere. Until then the result reads them."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table that nothing reads any more."""
         path = getattr(df, "_karst_path", None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -65,7 +65,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, tuple[int, ...], bool]] = []  # name, silent or apart, container, marked ancestors, in a link
-        self.open: Counter = Counter()  # names in the stack: it's searched only for what it holds
+        self.open: dict[str, int] = defaultdict(int)  # names in the stack: it's searched only for what it holds
         self.within: list[tuple[int, ...]] = []
         self.marked: list[bool] = []
         self.holds: list[tuple[str, int, tuple[int, ...], int]] = []  # name, number, marked ancestors, container around
@@ -89,13 +89,15 @@ class Lines(HTMLParser):
         outside = self.stack[i - 1][3] if i else ()
         if any(name not in INLINE or within != outside for name, _, _, within, _ in self.stack[i:]):
             self._end_line()
-        self.open.subtract(name for name, *_ in self.stack[i:])
+        for x in self.stack[i:]:
+            self.open[x[0]] -= 1
         del self.stack[i:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.open["head"] and tag not in OF_HEAD:
             self._pop_to(next(i for i, x in enumerate(self.stack) if x[0] == "head"))
-        for i in range(len(self.stack) - 1, -1, -1) if any(self.open[name] for name in CLOSES.get(tag, ())) else ():
+        closes = CLOSES.get(tag)
+        for i in range(len(self.stack) - 1, -1, -1) if closes and any(map(self.open.__getitem__, closes)) else ():
             name = self.stack[i][0]
             if tag in CLOSED_BY.get(name, ()):
                 self._pop_to(i)
@@ -157,7 +159,7 @@ class Lines(HTMLParser):
         if not (self.stack and self.stack[-1][1]):
             self.text.append(data)
             if not (self.stack and self.stack[-1][4]):
-                self.plain += len(_WHITE.sub("", data))
+                self.plain += len(data.strip())
 
     def close(self) -> None:
         super().close()

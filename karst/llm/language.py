@@ -166,8 +166,8 @@ def identify(work: Workspace, pages: DataFrame, labelled: DataFrame, most: int =
     log P(lang | page) is the sum of the text's log likelihood, log P(declared | lang), log P(address | lang) and
     the log of the host's prior; the page's own share is taken out of the counts of its host, domain and suffix, and
     each level is smoothed by the next. Ties go to the first language by code point. Pages without text, mark or
-    address are judged by what is left; null html and url are empty. Repeated rows are judged each; an empty table
-    gives no row; without labelled documents lang is null.
+    address are judged by what is left; null html and url are empty. Repeated rows are judged each; pages of
+    any length are read whole; an empty table gives no row; without labelled documents lang is null.
     """
     languages, logs = fit_text_model(labelled, most)
     n = len(languages)

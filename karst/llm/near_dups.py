@@ -187,6 +187,7 @@ def near_duplicates(work: Workspace, docs: DataFrame, percent: int = PERCENT) ->
     Null, empty and blank texts have no shingle, link with nothing and stay. Repeated rows are copies of each other:
     each row is returned. A row without doc_id names no class; if all rows of its class are such, component_id is
     null; kept is false for it. An empty table gives no row; other columns are not looked at.
+    Ids are numbers. Texts of any length are read whole: a set is built in one task, its minima in pieces.
     """
     found = work.keep(features(docs), "features")
     classes = found.where("set_hash is not null and doc_id is not null").groupBy("set_hash")

@@ -54,7 +54,8 @@ def pack(work: Workspace, docs: DataFrame, tokenizer_path: str, window: int = WI
     every task's global offset. Pass 2 cuts at multiples of `window`; a document over a boundary gives one piece on
     either side, a task over a boundary shares that sequence with the next. Nothing is shuffled. Only the last
     sequence can be short. Null texts count as empty and hold the end id alone; repeated rows are packed as often
-    as they occur; an empty table gives no piece. Columns other than id and text are not looked at.
+    as they occur; an empty table gives no piece. A text of any length is tokenised whole and cut at every window. Columns other than
+    id and text are not looked at.
 
     Columns: doc_id, start, length, ids_crc32 (unsigned, ids as little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset, sequence_length (tokens with padding: a sequence that is full, or that ends at a power of

@@ -96,8 +96,8 @@ def _ratios(rows: dict[int, tuple[int, int]], n: int, smoothing: float) -> list[
 def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for every row.
 
-    A document is kept if no base rule fails and its mean log ratio is at least `threshold`. Null texts count as
-    empty: they fail the word rule and score 0. Repeated rows are judged each; without trusted rows every score is
+    A document is kept if no base rule fails and its mean log ratio is at least `threshold`. Texts of any length
+    are judged whole. Null texts count as empty: they fail the word rule and score 0. Repeated rows are judged each; without trusted rows every score is
     0; an empty table gives no row; columns besides doc_id and text are not looked at.
     """
     ratios = log_ratios(docs, trusted, n)

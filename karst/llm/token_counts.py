@@ -90,8 +90,8 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", most: i
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row, exactly as the library counts the whole text.
 
-    Null and empty texts have 0 bytes and 0 tokens. Repeated rows stay; an empty table gives no row; other columns
-    are not looked at. Special strings in a text are ordinary text.
+    Null and empty texts have 0 bytes and 0 tokens. Repeated rows stay; texts of any length are counted whole;
+    an empty table gives no row; other columns are not looked at. Special strings in a text are ordinary text.
     """
     check_additive(path)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text_col))

@@ -71,7 +71,7 @@ def significant(toxic: int, clean: int, share: float, forms: int) -> bool:
     return n * far >= math.log(forms / FALSE_TERMS)
 
 
-def learn_lexicon(train: DataFrame) -> list[tuple[Term, float]]:
+def learn_lexicon(work: Workspace, train: DataFrame) -> list[tuple[Term, float]]:
     """Whole words and stems that toxic documents have and clean ones don't, by more than chance, each in the form that
     covers most, and the log of its toxic documents over its clean ones. Near copies are one document."""
     sizes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}  # two rows
@@ -88,11 +88,12 @@ def learn_lexicon(train: DataFrame) -> list[tuple[Term, float]]:
     toxic = toxic.groupBy("form").agg(F.countDistinct("sketch").alias("docs"), F.countDistinct("c").alias("places")).where(F.least("docs", "places") >= LEAST_SUPPORT)
     clean = words.where("toxic = 0").select(F.explode_outer(F.array_distinct(F.flatten(F.transform("w", forms)))).alias("form")).where("form is not null")
     clean = clean.groupBy("form").agg(F.count("*").alias("clean"))
-    found = toxic.join(clean, "form", "left").withColumn("clean", F.coalesce("clean", F.lit(0)))
+    found = work.keep(toxic.join(clean, "form", "left").withColumn("clean", F.coalesce("clean", F.lit(0))), "forms")
     few = F.col("clean") <= MOST_CLEAN * F.col("docs")
-    forms_tried = found.agg(F.count("*")).first()[0]
+    forms_tried = found.count()
     rows = found.where(few).orderBy(F.desc("docs"), F.desc(F.length("form")), "form").limit(20 * MOST_TERMS).collect()
     rows = [r for r in rows if significant(min(r.docs, r.places), r.clean, share, forms_tried)]
+    work.drop(found)
     clean_of = {r.form: r.clean for r in rows}
     terms = widest({r.form: r.docs for r in rows})[:MOST_TERMS]
     return [(t, float(np.log((n + 0.5) / (clean_of[f] + 0.5)))) for f, t, n in terms]
@@ -240,11 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     work = Workspace(docs.sparkSession, "toxicity")
     half = (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))).cast("int").alias("half")
     rows = work.keep(training_rows(docs, labels, most).select("*", half), "train")
-    terms = learn_lexicon(rows)
+    terms = learn_lexicon(work, rows)
     measured = []
     for h in (0, 1):
         mine = rows.where(f"half = {h}")
-        measured += _measured(rows.where(f"half <> {h}"), *_settled(mine, learn_lexicon(mine)))
+        measured += _measured(rows.where(f"half <> {h}"), *_settled(mine, learn_lexicon(work, mine)))
     terms, ordinary = _settled(rows, terms)
     work.drop(rows)
     x = np.array([f for _, _, f in measured]).reshape(-1, len(FEATURES))

@@ -309,8 +309,8 @@ def near_duplicate_vectors(work: Workspace, vectors: DataFrame, threshold: float
     threshold are kept, none below.
 
     Rows that can't be compared (see usable) have no links, are their own component and stay. Rows that share a
-    vec_id and a vector are copies of each other. A null vec_id has component null and kept false. An empty table
-    gives no row; other columns are not looked at.
+    vec_id and a vector are copies of each other. A null vec_id has component null and kept false. Vectors of any length
+    are compared whole, with those of their length. An empty table gives no row; other columns are not looked at.
     """
     nodes = work.keep(usable(vectors), "nodes")
     count = nodes.count()

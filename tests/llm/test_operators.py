@@ -530,6 +530,51 @@ def test_languages(spark):
     assert host_of("HTTP://WWW.Ex.org:80/de-AT/x") == ("www.ex.org", "de")
 
 
+def test_posterior_by_plain_loops(spark):
+    """Text, declared language, address and host prior fused by hand give each page's language and confidence."""
+    from karst.llm import language as lg
+
+    rng = np.random.default_rng(11)
+    words = {x: ["".join(rng.choice(list(a), int(rng.integers(3, 8)))) for _ in range(30)] for x, a in {"aa": "abcdeo", "bb": "fghijo", "cc": "aeioug"}.items()}
+    labelled = spark.createDataFrame([(i, " ".join(rng.choice(words[x], 20)), x) for i, x in enumerate(["aa", "bb", "cc"] * 8)], "doc_id bigint, text string, lang string")
+    rows, told = [], []
+    for i in range(60):
+        x = ("aa", "bb", "cc")[int(rng.integers(3))]
+        mark = x if rng.random() < 0.6 else ("aa", "zz", None)[int(rng.integers(3))]
+        host = f"h{int(rng.integers(3))}.site{int(rng.integers(2))}.{x if rng.random() < 0.4 else 'org'}"
+        path = "/bb/p" if rng.random() < 0.2 else "/p"
+        text = " ".join(rng.choice(words[x if rng.random() < 0.7 else "cc"], int(rng.integers(0, 12))))
+        rows.append((i, f"http://{host}{path}{i}", f"<html{f' lang={mark}' if mark else ''}><body><article><p>{text}</p></article></body></html>"))
+        named = "bb" if path == "/bb/p" else host[-2:] if host[-2:] in words else None
+        told.append((text, mark, host, named))
+    got = {r.page_id: r for r in lg.identify(Workspace(spark, "t"), spark.createDataFrame(rows, "page_id bigint, url string, html string"), labelled).collect()}
+    names, logs = lg.fit_text_model(labelled)
+    z = []
+    for text, *_ in told:
+        grams = [zlib.crc32(f"^{w}$"[i : i + 3].encode("utf-32-le")) % lg.BUCKETS for w in text.split() for i in range(len(w))]
+        z.append(logs[:, grams].sum(axis=1) * min(1.0, lg.MOST_EVIDENCE / len(grams)) if grams else np.zeros(3))
+    post = np.array([np.exp(v - v.max()) / np.exp(v - v.max()).sum() for v in z])
+
+    def mark_log(which):
+        values = [*names, "other"]
+        of = [None if t[which] is None else t[which] if t[which] in names else "other" for t in told]
+        cell = {v: sum((post[i] for i in range(60) if of[i] == v), np.zeros(3)) + lg.MARK_PAGES for v in values}
+        total = sum(cell.values())
+        return [np.log(cell[v] / total) if v else np.zeros(3) for v in of]
+
+    declared, named = mark_log(1), mark_log(3)
+    levels = [lambda h: "", lambda h: h.split(".")[-1], lambda h: ".".join(h.split(".")[-2:]), lambda h: h]
+    for i in range(60):
+        p = np.full(3, 1 / 3)
+        for level in levels:
+            others = np.maximum(0, sum((post[j] for j in range(60) if level(told[j][2]) == level(told[i][2])), np.zeros(3)) - post[i])
+            p = (others + lg.PRIOR_PAGES * p) / (others.sum() + lg.PRIOR_PAGES)
+        total = z[i] + np.log(p) + declared[i] + named[i]
+        share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert got[i].confidence == pytest.approx(share.max(), abs=1e-4) and (got[i].lang == names[int(share.argmax())] or np.sort(share)[-2] > 0.499)
+    assert any(got[i].lang != got[i].text_lang for i in range(60))
+
+
 def test_declared_language_anywhere_and_all_languages(spark):
     from karst.llm.extraction import parsed
     from karst.llm.language import fit_text_model
@@ -710,3 +755,33 @@ def test_mixing(spark, docs, none):
     assert odd.where("taken > 3 * size").count() == 0 and odd.where("doc_id = 2").first().taken == 0
     assert mix(Workspace(spark, "t"), none).count() == 0 and mixed_documents(Workspace(spark, "t"), none).count() == 0
     assert set(mixed_documents(Workspace(spark, "t"), docs).columns) == set(docs.columns)
+
+
+def test_pipeline_stages_on_awkward_tables(spark, docs, none, tables):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and no rows, through every stage."""
+    import corpus_pipeline as cp
+    from karst.llm.mixing import mix
+
+    before = docs.count()
+    for name, stage in cp.STAGES:
+        assert stage(spark, none, tables).count() == 0
+        out = stage(spark, docs, tables)
+        rows = out.collect()
+        if name == "packing":
+            assert sum(r.start == 0 for r in rows) == before
+            continue
+        assert out.columns == docs.columns
+        if name == "toxicity":
+            assert len(rows) == before  # no labelled document is among them
+        if name == "near_dedup":
+            ids = collections.Counter(r.doc_id for r in rows)
+            assert ids.pop(None) == 2 and set(ids.values()) == {1} and {1, 2, 3, 4, 10} <= set(ids) and 9 not in ids
+        if name == "pii":
+            assert len(rows) == before and not any("me@example.com" in (r.text or "") for r in rows)
+        if name == "mixing":
+            taken, emitted = collections.Counter(), collections.Counter()
+            for r in mix(Workspace(spark, "t"), docs).collect():
+                taken[r.doc_id, r.source] += r.taken
+            for r in rows:
+                emitted[r.doc_id, r.source] += len(WORD.findall(r.text or ""))
+            assert emitted == taken
