@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five stages, each written and read again by the next."""
+"""From raw documents to packed training sequences: five stages, each written and read again by the next.
+
+Every stage takes nulls in any column, empty texts and texts of any length, repeated rows, an empty table (which gives
+an empty one) and columns beyond those of documents, whatever their names; all but the last return the columns they
+were given. What a stage does with such rows beyond that is in its own words."""
 
 from __future__ import annotations
 
@@ -17,14 +21,14 @@ ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold. Empty ones stay."""
+    """Documents that score below the toxicity threshold. Null and empty texts stay; repeated rows go or stay together."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id. Rows without an id stay; of rows
-    that share an id one stays."""
+    that share an id one stays; texts without words are like nothing and stay."""
     work = Workspace(spark, "pipeline-dedup")
     found = work.keep(near_duplicates(work, docs), "found")
     copies = found.where("doc_id is not null and not kept").select("doc_id").distinct()
@@ -36,18 +40,21 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with personal data and terms that disclose it replaced; n_chars is that of the new text."""
+    """Every document, with personal data and terms that disclose it replaced; n_chars is that of the new text. Null
+    texts become empty; repeated rows stay as often as they are there."""
     clean = sanitised(personal_data(Workspace(spark, "pipeline-pii"), docs))
     return clean.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents as often as drawn, the last time perhaps in part."""
+    """The mix of sources: documents as often as drawn, the last time perhaps in part. Repeated rows are drawn each by
+    itself, documents without words stay once, a null source is a source."""
     return mixed_documents(Workspace(spark, "pipeline-mix"), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 4096-token sequences, with their ids."""
+    """Pieces of 4096-token sequences, with their ids. Null and empty texts are their end id alone; repeated rows are packed
+    as often as they are there."""
     import public_tokenizers
 
     return pack(Workspace(spark, "pipeline-pack"), docs, public_tokenizers.path("word_bpe_49k.json"))
