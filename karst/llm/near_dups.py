@@ -81,7 +81,8 @@ def _bands(m: np.ndarray) -> np.ndarray:
 
 
 def _packed(m: np.ndarray) -> np.ndarray:
-    """BITS bits of each minimum, sixteen lanes to a 64-bit word."""
+    """BITS bits of each minimum, sixteen lanes to a 64-bit word. They're taken from bit 24 on, not from bit 0: the
+    lowest bits of a * x + b depend on the lowest bits of x alone, in all permutations alike."""
     lanes = ((m >> np.uint64(24)) & np.uint64(2**BITS - 1)).reshape(-1, 64 // BITS)
     shifts = np.arange(0, 64, BITS, dtype=np.uint64)
     return np.bitwise_or.reduce(lanes << shifts, axis=1).view(np.int64)
