@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.llm.common import Workspace, table
+from karst.llm.tokens import check_chunks
 
 WINDOW = 4096
 END_ID = 2
@@ -55,13 +56,14 @@ def pack(work: Workspace, docs: DataFrame, tokenizer_path: str, window: int = WI
     either side, a task over a boundary shares that sequence with the next. Nothing is shuffled. Only the last
     sequence can be short. Null texts count as empty and hold the end id alone; repeated rows are packed as often
     as they occur; an empty table gives no piece. A text of any length is tokenised whole and cut at every window. Columns other than
-    id and text are not looked at.
+    id and text are not looked at. A tokenizer that can't be looked up chunk by chunk is an error.
 
     Columns: doc_id, start, length, ids_crc32 (unsigned, ids as little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset, sequence_length (tokens with padding: a sequence that is full, or that ends at a power of
     two, has none), ids (binary, `width` bytes an id).
     """
     spark = work.spark
+    check_chunks(tokenizer_path)
     rows = work.keep(tokenize(docs, tokenizer_path, end_id=end_id), "tokens")
     totals = {r.part: r.n for r in rows.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()}  # a number per task
     bases = dict(zip(sorted(totals), accumulate((totals[p] for p in sorted(totals)), initial=0)))

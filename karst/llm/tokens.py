@@ -73,3 +73,15 @@ class ChunkIds(dict):
     def of(self, text: str) -> bytes:
         chunks = [c for c in _SPACE.split(text) if c] if _ODD_SPACE.search(text) else text.split()
         return b"".join(map(self.__getitem__, chunks))
+
+
+#: Texts in which tokenizers differ: case, accents apart from their letters, scripts, digits, marks, kinds of space.
+_PROBES = ("The Quick brown fox's  tail,\tÉtÉ Ångström.\n", "e\u0301 ﬁ Ⅷ İ ſ 漢字かな Привет مرحبا 👩‍👩‍👧 \u00a0x\u3000y", "3.14 1,000 a_b #c [d] <e> don't!?\r\n ... --x", " \x0b\x0c ", "")
+
+
+def check_chunks(path: str) -> None:
+    """Refuse a tokenizer whose ids of a text are not those of its chunks in a row, told by _PROBES."""
+    lookup = ChunkIds(path, wide=True)
+    for text in _PROBES:
+        if lookup.of(text) != lookup._encode(text):
+            raise ValueError(f"{path}: this tokenizer's ids of a text are not those of its chunks in a row ({text!r})")

@@ -144,6 +144,16 @@ def test_packing(spark, docs, none):
     assert pack(Workspace(spark, "t"), none, path).count() == 0
 
 
+def test_packing_refuses_tokenizers_that_need_whole_texts():
+    import public_tokenizers
+
+    from karst.llm.tokens import check_chunks
+
+    check_chunks(public_tokenizers.path("word_bpe_49k.json"))
+    with pytest.raises(ValueError, match="chunks in a row"):
+        check_chunks(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_chunk_ids_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
