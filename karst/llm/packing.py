@@ -8,6 +8,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,32 +18,37 @@ from karst.llm.tokens import check_chunks
 
 WINDOW = 4096
 END_ID = 2
+#: Text that a task tokenises at once; its distinct chunks are looked up once.
+TEXT_BYTES = 8_000_000
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """First pass: (part, local_start, id, n_tokens, ids) for each row; part is the task, local_start its tokens so far.
 
     ids are little-endian unsigned 16-bit where the vocabulary allows, else 32-bit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from karst.llm.tokens import ChunkIds
+        from karst.llm.tokens import chunk_ids
 
-        lookup = ChunkIds(tokenizer_path)
-        width, end = (2, end_id.to_bytes(2, "little")) if lookup.code == "H" else (4, end_id.to_bytes(4, "little"))
+        lookup = chunk_ids(tokenizer_path)
+        width = lookup.kind.itemsize
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):  # long texts: small output batches
-                piece = batch.slice(lo, 256)
-                ids = [lookup.of(t or "") + end for t in piece.column(1).to_pylist()]
-                counts = [len(x) // width for x in ids]
-                starts = [at, *accumulate(counts, initial=at)][1:-1] if counts else []
-                at += sum(counts)
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(starts, pa.int64()), piece.column(0), pa.array(counts, pa.int64()), pa.array([width] * n, pa.int32()), pa.array(ids, pa.binary())],
+            sizes = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64))
+            lo = 0
+            while lo < batch.num_rows:  # bounded bytes of text at once, one row at least
+                hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + text_bytes, "right")) - 1)
+                ids = lookup.all(batch.column(1).slice(lo, hi - lo), end_id)
+                counts = pc.binary_length(ids).to_numpy().astype(np.int64) // width
+                ends = at + np.append(0, np.cumsum(counts))
+                n, at = hi - lo, int(ends[-1])
+                made = pa.RecordBatch.from_arrays(
+                    [pa.array([part] * n, pa.int32()), pa.array(ends[:-1]), batch.column(0).slice(lo, n), pa.array(counts), pa.array([width] * n, pa.int32()), ids],
                     names=["part", "local_start", "doc_id", "doc_tokens", "width", "ids"],
                 )
+                yield from (made.slice(i, 256) for i in range(0, n, 256))  # long texts: small output batches
+                lo = hi
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"part int, local_start bigint, doc_id {kind}, doc_tokens bigint, width int, ids binary")

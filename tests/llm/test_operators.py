@@ -4,8 +4,10 @@ columns with clashing names."""
 import collections
 import hashlib
 import math
+import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -166,6 +168,57 @@ def test_chunk_ids_equal_the_library():
         assert list(struct.unpack(f"<{len(mine.of(text)) // 2}H", mine.of(text))) == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_chunk_ids_of_many_texts_equal_the_library():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from karst.llm.tokens import ChunkIds
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), ChunkIds(path)
+    rng = random.Random(5)
+    letters = [*map(chr, range(0x20, 0x7F)), *"aeiourstnlAEIOU  \n\t", *map(chr, range(0xA0, 0x180)), "\0", "\x1c", "\x85", "\u0301", "\u3000", "\u2028", "漢", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL "]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(3000)] + [None, "", " ", "ab" * 300, "É" * 50, "!" * 100, "x" * 40, "x" * 41, "7" * 90]
+    texts += ["".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 45))) for _ in range(3000)]
+    for part in (texts, texts[3001:3003], texts[:1]):
+        got = mine.all(pa.array(part, pa.string()), 2).to_pylist()
+        for text, ids in zip(part, got, strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
+
+
+def test_chunk_ids_take_less_time_than_merging_word_by_word():
+    """Distinct words are most of the work on large tables: they are merged side by side."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from karst.llm.tokens import ChunkIds
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(6)
+    tries = [["".join(rng.choices("etaoinshrdlu", k=10)) for _ in range(60_000)] for _ in range(4)]  # others each time: no cache helps
+    mine, model = ChunkIds(path), Tokenizer.from_file(path).model
+
+    def took(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    alone = min(took(lambda: [[t.id for t in model.tokenize(w)] for w in words]) for words in tries)
+    assert min(took(lambda: mine.of(" ".join(words))) for words in tries) < alone
+
+
+def test_tokenize_in_small_blocks(spark, docs):
+    """Blocks of text are cut by bytes; offsets of a task run on over them."""
+    import public_tokenizers
+
+    from karst.llm.packing import tokenize
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, cut = (tokenize(docs, path, text_bytes=n).orderBy("part", "local_start").collect() for n in (10**7, 30))
+    assert whole == cut and len(cut) == docs.count()
+
+
 def test_token_counts(spark, docs, none):
     import public_tokenizers
     import sentencepiece
